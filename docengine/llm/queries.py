@@ -6,6 +6,7 @@ import importlib
 
 #: Name of the query: module that has its function `opN` and, where SQL can express it, ORACLE.
 MODULES = {
+    "op6_minhash_near_dedup": "minhash",
     "op2_katz_lm": "katz",
     "op9_substring_dedup": "substring_dedup",
 }
