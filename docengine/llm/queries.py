@@ -6,9 +6,16 @@ import importlib
 
 #: Name of the query: module that has its function `opN` and, where SQL can express it, ORACLE.
 MODULES = {
-    "op6_minhash_near_dedup": "minhash",
+    "op1_pii": "pii",
     "op2_katz_lm": "katz",
+    "op3_url_filter": "url_filter",
+    "op4_toxicity": "toxicity",
+    "op5_decontaminate": "decontaminate",
+    "op6_minhash_near_dedup": "minhash",
+    "op7_warc": "warc",
+    "op8_fingerprints": "fingerprints",
     "op9_substring_dedup": "substring_dedup",
+    "op10_packing": "packing",
 }
 
 
