@@ -25,6 +25,7 @@ SAMPLE_WINDOWS = 14_000  # of either class at most in training
 _WORD_BUCKETS, _GRAM_BUCKETS = 1 << 13, 1 << 15
 _D, _H = 8, 8
 _GRAMS = (3, 4, 5)
+_LEAST_SHARE = 0.2  # of positives, when errors on the documents kept apart are weighed
 _UPDATES = 600  # of the weights at least
 _CHUNK = 4096  # windows run at a time
 _BYTES = 1 << 22  # text read at a time
@@ -272,7 +273,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> t
     ids = docs.sparkSession.createDataFrame([tuple(x) for x in picked], "doc_id long, toxic int")
     rows = text_of(docs).join(F.broadcast(ids), "doc_id").collect()
     share = known.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0]
-    return sorted((x["doc_id"], x["text"], x["toxic"]) for x in rows), share or 0.0
+    return sorted((x["doc_id"], x["text"], x["toxic"]) for x in rows), max(share or 0.0, _LEAST_SHARE)
 
 
 def _scored(model):
