@@ -193,7 +193,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     dealt = dealt.select("centre", F.col("rep").alias("doc_id"), F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"))
     parts = 4 * block_count(docs, BLOCK_BYTES)
     tasks = (
-        dealt.join(texts, "doc_id")
+        dealt.join(texts.hint("merge"), "doc_id")  # links grow with the input, so neither side is broadcast
         .withColumn("task", F.pmod(F.xxhash64("centre", "one", "two"), F.lit(parts)).cast("int"))
         .groupBy("task").applyInArrow(_linked, "a long, b long")
     )
