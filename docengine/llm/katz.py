@@ -98,7 +98,7 @@ class _Block:
         return np.unique(context * (v + 1) + self.word, return_inverse=True)
 
     def contexts(self, pairs: np.ndarray):
-        """Hash of each distinct context, in order of that hash, and the order of pairs and sizes that goes with it."""
+        """Of the distinct contexts, in order of their hash: hash, pairs of each, the order of pairs that goes with it, word."""
         v = len(self.vocab)
         own, begin, size = np.unique(pairs // (v + 1), return_index=True, return_counts=True)
         start = T.mix(np.array([_END]))[0]
@@ -106,7 +106,7 @@ class _Block:
         order = np.argsort(hashes, kind="stable")
         size = size[order]
         shift = np.repeat(begin[order] - (np.cumsum(size) - size), size)
-        return hashes[order], size, np.arange(len(pairs)) + shift
+        return hashes[order], size, np.arange(len(pairs)) + shift, own[order]
 
 
 def _ask_words(ranges: int):
@@ -161,7 +161,8 @@ def _ask_pairs(ranges: int):
         number = np.concatenate([T.unpack_ints(x) for x in more])
         pairs, which = b.pairs()
         counts = np.bincount(which[b.train], minlength=len(pairs))
-        hashes, size, order = b.contexts(pairs)
+        hashes, size, order, own = b.contexts(pairs)
+        known = np.append(number + 1, 0)[own]  # the start of a text has no number
         word = (pairs % (len(b.vocab) + 1))[order]
         counts, cut = counts[order], _cut(hashes, ranges)
         begin = np.concatenate([[0], np.cumsum(size)])
@@ -170,7 +171,7 @@ def _ask_pairs(ranges: int):
         return pa.table({
             "rng": pa.array(some, pa.int32()),
             "blk": pa.array(np.full(len(some), docs["blk"][0].as_py()), pa.int32()),
-            "contexts": pa.array([hashes[cut[k] : cut[k + 1]].tobytes() for k in some], pa.binary()),
+            "contexts": pa.array([T.pack_ints(known[cut[k] : cut[k + 1]]) for k in some], pa.binary()),
             "sizes": pa.array([T.pack_ints(size[cut[k] : cut[k + 1]]) for k in some], pa.binary()),
             "words": pa.array([T.pack_ints(number[word[p]]) for p in part], pa.binary()),
             "counts": pa.array([T.pack_ints(counts[p]) for p in part], pa.binary()),
@@ -183,7 +184,7 @@ def _ask_pairs(ranges: int):
 def _count_pairs(table: pa.Table) -> pa.Table:
     """Of one range of contexts: totals of pairs, and of each context its total, its few and its words' lower totals."""
     column = lambda name: [T.unpack_ints(x) for x in table[name].to_pylist()]
-    own = [np.frombuffer(x, np.uint64) for x in table["contexts"].to_pylist()]
+    own = column("contexts")
     sizes, words = column("sizes"), column("words")
     lengths = np.array([len(x) for x in words])
     contexts, at = np.unique(np.concatenate(own), return_inverse=True)
@@ -251,7 +252,7 @@ def _score(docs: pa.Table, found: pa.Table) -> pa.Table:
     few1, d1, d2 = stats1[2 : 2 + K], discounts([0, *stats1[2:]]), discounts([0, *stats2[2:]])
     p1 = first_order(counts, total1, d1, few1)[0]
     pairs, which = b.pairs()
-    _, size, order = b.contexts(pairs)
+    _, size, order, _ = b.contexts(pairs)
     frames = [_unframed(x) for x in more]
     per = np.stack([np.concatenate([f[k] for f in frames]) for k in range(2 * K + 2)], -1)
     p = np.empty(len(pairs))

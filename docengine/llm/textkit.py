@@ -140,11 +140,17 @@ def unpack(raw: bytes) -> np.ndarray:
 
 
 def pack_ints(values: np.ndarray) -> bytes:
-    """Non-negative integers in the narrowest type that holds them all."""
+    """Non-negative integers in the narrowest type that holds them all, one plane of bytes after another.
+
+    The planes of high bytes are mostly zeros, which any compressor of an exchange takes out.
+    """
     top = int(values.max()) if len(values) else 0
     kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if top <= np.iinfo(t).max)
-    return bytes([np.dtype(kind).itemsize]) + values.astype(kind).tobytes()
+    size = np.dtype(kind).itemsize
+    return bytes([size]) + values.astype(kind).view(np.uint8).reshape(-1, size).T.tobytes()
 
 
 def unpack_ints(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, f"u{raw[0]}", offset=1).astype(np.int64)
+    size = raw[0]
+    planes = np.frombuffer(raw, np.uint8, offset=1).reshape(size, -1)
+    return np.ascontiguousarray(planes.T).view(f"u{size}").reshape(-1).astype(np.int64)
