@@ -55,7 +55,7 @@ def score_expr(terms: list[str]) -> Column:
     total = F.lit(0.0)
     norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / F.col("avgdl"))
     for t in dict.fromkeys(terms):
-        tf = F.size(F.filter("tokens", lambda x, t=t: x == t)).cast("double")
+        tf = (F.col("dl") - F.size(F.array_remove("tokens", t))).cast("double")
         total = total + F.lit(float(terms.count(t))) * F.coalesce(F.col("idfs")[t], F.lit(0.0)) * tf * F.lit(K1 + 1) / (tf + norm)
     return total
 

@@ -1,11 +1,437 @@
-"""The registered queries and their SQL."""
+"""The registered queries and their SQL over the driver's tables.
+
+Documents serve as chunks: lang is the component, source the topic, the first line the title. SQL is DuckDB's.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import quality
+from ..functions import text as T
+from ..operators import bm25, hybrid, incremental, lookups, vector, xref
+from ..sources import documents, snapshots
+
+#: The tables hold no commands of the real vocabulary; common words stand in.
+VOCABULARY = ["that", "with", "this", "les", "der"]
+QUERY = "thation the ereble ontion ithing"
+REPEATED = "idiot moron idiot clown"
+
+
+def chunks(spark: SparkSession, d: str, labelled: bool = False) -> DataFrame:
+    """labelled: with the deprecated flag, which needs a join."""
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    file = F.concat_ws("/", "lang", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".rst")))
+    title = F.substring_index("text", "\n", 1)
+    out = docs.select(
+        "doc_id", T.entity_id(file, title).alias("entity_id"), title.alias("title"), F.col("text").alias("content"), F.col("lang").alias("component"), F.col("source").alias("topic"), file.alias("source_file"), title.alias("section_path"),
+        T.doc_url(file).alias("doc_url"), F.array().cast("array<string>").alias("commands_referenced"), F.array().cast("array<string>").alias("warnings"), F.col("doc_id").alias("file_ord"), F.lit(0).alias("chunk_ord"),
+    )
+    if labelled:
+        toxic = spark.read.parquet(f"{d}/labels.parquet").select("doc_id", (F.col("toxic") == 1).alias("deprecated"))
+        out = out.join(toxic, "doc_id", "left").withColumn("deprecated", F.coalesce("deprecated", F.lit(False)))
+    return out
+
+
+def ranked_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """With chunk_ord as the document's number, by which ties are broken, and a fixed quality."""
+    return chunks(spark, d).withColumn("chunk_ord", F.col("doc_id").cast("int"))
+
+
+CHUNK = """chunk AS (SELECT doc_id, string_split(text, chr(10))[1] AS title, text AS content, lang AS component, source AS topic,
+  lang || '/' || source || '/' || doc_id || '.rst' AS source_file,
+  left(sha256(lang || '/' || source || '/' || doc_id || '.rst::' || string_split(text, chr(10))[1]), 16) AS entity_id FROM documents)"""
+_STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
+TOK = f"""tok AS (SELECT *, list_filter(regexp_extract_all(lower(title || ' ' || content), '{T.TOKEN}'), lambda x: NOT list_contains([{_STOP}], x)) AS tokens FROM chunk)"""
+STATS = """cs AS (SELECT component, count(*) AS n_docs, avg(len(tokens)) AS avgdl FROM tok GROUP BY component),
+raw AS (SELECT t.component, term, count(*) AS df, ln(any_value(n_docs) - count(*) + 0.5::DOUBLE) - ln(count(*) + 0.5::DOUBLE) AS raw
+  FROM (SELECT component, unnest(list_distinct(tokens)) AS term FROM tok) t JOIN cs ON t.component = cs.component GROUP BY t.component, term),
+idf AS (SELECT component, term, df, raw, CASE WHEN raw < 0 THEN 0.25::DOUBLE * avg(raw) OVER (PARTITION BY component) ELSE raw END AS idf FROM raw)"""
+
+
+def _bm25_cte(query: str, component: str | None, k: int) -> str:
+    values = ", ".join(f"('{t}')" for t in T.query_tokens(query))
+    where = f"AND component = '{component}'" if component else ""
+    return f"""{CHUNK}, {TOK}, {STATS},
+q(term) AS (VALUES {values}),
+s AS (SELECT tok.doc_id, any_value(tok.entity_id) AS entity_id, any_value(tok.component) AS component,
+  sum(idf.idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len(tokens) / avgdl))) AS raw
+  FROM tok, q, LATERAL (SELECT len(list_filter(tokens, lambda x: x = q.term))::DOUBLE AS tf) l JOIN idf ON idf.component = tok.component AND idf.term = q.term JOIN cs ON cs.component = tok.component
+  WHERE tf > 0 GROUP BY tok.doc_id),
+top AS (SELECT * FROM s WHERE raw > 0 {where} ORDER BY raw DESC, component, doc_id LIMIT {k}),
+bm AS (SELECT doc_id, entity_id, component, raw / max(raw) OVER () AS score FROM top)"""
+
+
+def _top(df: DataFrame) -> DataFrame:
+    return df.select("entity_id", "component", F.round("score", 6).alias("score"))
+
+
+def _keyword(query: str, component: str | None, k: int = 10):
+    return lambda spark, d: _top(bm25.search(ranked_chunks(spark, d), query, component, k))
+
+
+def _keyword_sql(query: str, component: str | None, k: int = 10) -> str:
+    return f"WITH {_bm25_cte(query, component, k)} SELECT entity_id, component, round(score, 6) AS score FROM bm"
+
+
+def tokenize_term_counts(spark, d):
+    tok = bm25.tokenized(chunks(spark, d))
+    return tok.select("component", F.explode("tokens").alias("term")).groupBy("component", "term").agg(F.count("*").alias("n"))
+
+
+def bm25_component_stats(spark, d):
+    return bm25.component_stats(bm25.tokenized(chunks(spark, d))).select("component", "n_docs", F.round("avgdl", 6).alias("avgdl"))
+
+
+def bm25_term_idf(spark, d):
+    return bm25.term_stats(bm25.tokenized(chunks(spark, d))).select("component", "term", "df", F.round("idf", 6).alias("idf"))
+
+
+def bm25_postings_search(spark, d):
+    """The same top ten by way of the index tables."""
+    return _top(bm25.search_index(bm25.build_index(ranked_chunks(spark, d)), QUERY, None, 10))
+
+
+def entity_ids(spark, d):
+    return chunks(spark, d).select("doc_id", "entity_id")
+
+
+def component_topic(spark, d):
+    return chunks(spark, d).select("doc_id", T.component(F.col("source_file")).alias("component"), T.topic(F.col("source_file")).alias("topic"))
+
+
+def doc_url(spark, d):
+    return chunks(spark, d).select("doc_id", "doc_url")
+
+
+def quality_scores(spark, d):
+    return quality.scored(chunks(spark, d, True), VOCABULARY).select("doc_id", F.round("quality_score", 6).alias("quality_score"))
+
+
+def command_occurrences(spark, d):
+    text = F.concat("title", F.lit("\n"), "content")
+    rows = chunks(spark, d).select("doc_id", F.explode(T.command_matches(text, VOCABULARY)).alias("command"))
+    return rows.groupBy("doc_id", "command").agg(F.count("*").alias("n"))
+
+
+def commands_referenced(spark, d):
+    rows = xref.with_commands(chunks(spark, d), VOCABULARY)
+    return rows.select("doc_id", F.array_join("commands_referenced", "|").alias("commands"))
+
+
+def _xref(spark, d):
+    return xref.build(chunks(spark, d), VOCABULARY)
+
+
+def command_xref(spark, d):
+    return _xref(spark, d).select("command", "chunk_id", "source", "component")
+
+
+def command_counts(spark, d):
+    return _xref(spark, d).groupBy("command").agg(F.count("*").alias("chunks"))
+
+
+COMMAND, PREFIX = "this the", "with the an"
+
+
+def command_lookup_exact(spark, d):
+    return xref.find(_xref(spark, d), COMMAND)[1].select("command", "chunk_id", "source")
+
+
+def command_lookup_prefix(spark, d):
+    return xref.find(_xref(spark, d).persist(), PREFIX)[1].select("chunk_id", "source")
+
+
+def command_lookup_uncapped(spark, d):
+    return xref.lookup(_xref(spark, d).persist(), PREFIX).select("chunk_id", "source")
+
+
+def _vectors(spark, d) -> DataFrame:
+    v = spark.read.parquet(f"{d}/embeddings.parquet")
+    return v.select(F.col("vec_id").cast("string").alias("entity_id"), F.col("label").cast("string").alias("component"), F.col("vec_id").cast("int").alias("chunk_ord"), "embedding")
+
+
+def _query_vector(spark, d) -> list[float]:
+    return [float(x) for x in spark.read.parquet(f"{d}/embeddings.parquet").where("vec_id = 0").first()["embedding"]]
+
+
+def _semantic(component):
+    return lambda spark, d: _top(vector.search(_vectors(spark, d), _query_vector(spark, d), component, 10))
+
+
+_COSINE = "list_inner_product(e.embedding::DOUBLE[], q.v) / sqrt(list_inner_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) / sqrt(list_inner_product(q.v, q.v))"
+
+
+def _semantic_sql(component) -> str:
+    where = f"AND label = {component}" if component else ""
+    return f"""WITH q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0),
+s AS (SELECT vec_id::VARCHAR AS entity_id, label::VARCHAR AS component, vec_id, {_COSINE} AS score FROM embeddings e, q)
+SELECT entity_id, component, round(score, 6) AS score FROM s JOIN (SELECT vec_id AS v2, label FROM embeddings) l ON v2 = vec_id WHERE score > 0 {where} ORDER BY score DESC, component, s.vec_id LIMIT 10"""
+
+
+def _document_vectors(spark, d) -> DataFrame:
+    v = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("doc_id"), "embedding")
+    return ranked_chunks(spark, d).select("doc_id", "entity_id", "component", "chunk_ord").join(v, "doc_id").drop("doc_id")
+
+
+def _hybrid(query: str, component: str | None = None, k: int = 10, fallback: bool = False):
+    def run(spark, d):
+        rows = ranked_chunks(spark, d).withColumn("quality_score", F.lit(0.5))
+        search = hybrid.search_with_fallback if fallback else hybrid.search
+        return search(rows, _document_vectors(spark, d), query, _query_vector(spark, d), component, k).select("entity_id", "component", "search_source", F.round("score", 6).alias("score"))
+
+    return run
+
+
+def _hybrid_sql(query: str, component: str | None = None, k: int = 10) -> str:
+    """One statement: the gate is the count of strong rows, the second tier's cut a row number."""
+    tokens = T.query_tokens(query)
+    where = f"WHERE component = '{component}'" if component else ""
+    cte = _bm25_cte(query or "x", component, k) if tokens else f"{CHUNK}, bm AS (SELECT doc_id, entity_id, component, 0::DOUBLE AS score FROM chunk WHERE false)"
+    least = max(int(k * 0.5), 1)
+    return f"""WITH {cte}, qv AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0),
+gate AS (SELECT count(*) AS above FROM bm WHERE score >= 0.25),
+v AS (SELECT c.doc_id, c.entity_id, c.component, {_COSINE.replace('q.v', 'qv.v')} AS raw FROM embeddings e JOIN chunk c ON c.doc_id = e.vec_id, qv {where}),
+n AS (SELECT *, row_number() OVER (ORDER BY raw DESC, component, doc_id) AS place FROM v WHERE raw > 0),
+sem AS (SELECT n.* FROM n, gate WHERE above < {least} AND place <= greatest({k} - above, 1)),
+norm AS (SELECT doc_id, entity_id, component, CASE WHEN max(raw) OVER () > min(raw) OVER () THEN (raw - min(raw) OVER ()) / (max(raw) OVER () - min(raw) OVER ()) ELSE 1 END AS s FROM sem),
+m AS (SELECT coalesce(bm.doc_id, norm.doc_id) AS doc_id, coalesce(bm.entity_id, norm.entity_id) AS entity_id, coalesce(bm.component, norm.component) AS component,
+  CASE WHEN bm.doc_id IS NULL THEN s WHEN s IS NULL THEN score ELSE (score + s) / 2 END AS score,
+  CASE WHEN bm.doc_id IS NULL THEN 'semantic' WHEN s IS NULL THEN 'bm25' ELSE 'merged' END AS search_source
+  FROM bm FULL JOIN norm ON bm.entity_id = norm.entity_id),
+cut AS (SELECT * FROM m ORDER BY score DESC, search_source = 'semantic', component, doc_id LIMIT {k})
+SELECT entity_id, component, search_source, round(score * (1 + 0.3::DOUBLE * 0.5::DOUBLE), 6) AS score FROM cut"""
+
+
+def hybrid_merge(spark, d):
+    """Two fixed lists that share ids: scores averaged, the semantic ones mapped to 0..1, the cut at six."""
+    kind = "entity_id string, component string, chunk_ord int, score double"
+    k = spark.createDataFrame([("a", "x", 0, 1.0), ("b", "x", 1, 0.4), ("c", "y", 2, 0.1), ("a", "x", 3, 0.2)], kind)
+    s = spark.createDataFrame([("b", "x", 1, 0.9), ("d", "y", 4, 0.6), ("e", "y", 5, 0.3), ("c", "y", 2, 0.45)], kind)
+    return hybrid.merge(k, s, 6).select("entity_id", "search_source", F.round("score", 6).alias("score"))
+
+
+def quality_rerank(spark, d):
+    rows = quality.scored(chunks(spark, d, True), VOCABULARY).withColumn("score", 1 / (1 + F.col("doc_id")))
+    return hybrid.rerank(rows).select("doc_id", F.round("score", 9).alias("score"))
+
+
+def _examples(spark, d) -> DataFrame:
+    c = spark.read.parquet(f"{d}/conversations.parquet")
+    return c.select(
+        F.concat_ws("-", "conv_id", "turn").alias("entity_id"), F.col("text").alias("code"), F.col("role").alias("language"), F.lit("").alias("context"), F.lit("").alias("section_title"),
+        F.lit("talk").alias("component"), (F.col("conv_id") * 1000 + F.col("turn")).alias("ex_ord"),
+    )
+
+
+def _example_search(language):
+    return lambda spark, d: lookups.search_examples(_examples(spark, d), QUERY, None, language, 20).select("entity_id", F.round("score", 6).alias("score"))
+
+
+def _example_sql(language) -> str:
+    terms = sorted(set(T.query_tokens(QUERY)))
+    hits = " + ".join(f"contains(lower(text), '{t}')::INT" for t in terms)
+    where = f"WHERE role = '{language}'" if language else ""
+    return f"""WITH s AS (SELECT conv_id || '-' || turn AS entity_id, conv_id * 1000 + turn AS o, ({hits}) / {len(terms)}::DOUBLE AS score FROM conversations {where})
+SELECT entity_id, round(score, 6) AS score FROM s WHERE score > 0 ORDER BY s.score DESC, o, entity_id LIMIT 20"""
+
+
+def doc_page(spark, d):
+    c = chunks(spark, d)
+    return lookups.doc_page(c, "en/src1/1.rst").select("entity_id", "section_path", "content")
+
+
+def doc_chunk(spark, d):
+    c = chunks(spark, d)
+    one = c.where("doc_id = 7").select("entity_id").first()[0]
+    return lookups.doc_chunk(c, one).select("entity_id", "source_file", "content")
+
+
+def list_components(spark, d):
+    return lookups.list_components(chunks(spark, d))
+
+
+def list_topics(spark, d):
+    return lookups.list_topics(chunks(spark, d), "fr")
+
+
+def health_totals(spark, d):
+    return lookups.health(chunks(spark, d), _examples(spark, d).withColumn("component", F.lit("en")), _xref(spark, d))
+
+
+def _snapshots(spark, d):
+    c = chunks(spark, d).select("doc_id", "source_file", "content")
+    old = c.where("doc_id % 10 <> 0 OR doc_id % 20 = 0")
+    new = c.where("doc_id % 7 <> 3").withColumn("content", F.when(F.col("doc_id") % 5 == 1, F.concat("content", F.lit(" edited"))).otherwise(F.col("content")))
+    return old, new
+
+
+def changed_files(spark, d):
+    old, new = (x.withColumn("digest", F.sha2(F.col("content").cast("binary"), 256)) for x in _snapshots(spark, d))
+    return snapshots.changed_files(old, new)
+
+
+def incremental_upsert(spark, d):
+    old, new = _snapshots(spark, d)
+    digest = F.sha2(F.col("content").cast("binary"), 256)
+    changed = snapshots.changed_files(old.withColumn("digest", digest), new.withColumn("digest", digest))
+    return incremental.upsert(old, new, changed).select("source_file", digest.alias("digest"))
+
+
+_SNAP = f"""WITH {CHUNK}, o AS (SELECT source_file, content FROM chunk WHERE doc_id % 10 <> 0 OR doc_id % 20 = 0),
+n AS (SELECT source_file, CASE WHEN doc_id % 5 = 1 THEN content || ' edited' ELSE content END AS content FROM chunk WHERE doc_id % 7 <> 3)"""
+
+
+def affected_components(spark, d):
+    return incremental.affected(changed_files(spark, d)).select("component")
+
+
+def sentence_split_chunks(spark, d):
+    """Oversize texts in pieces."""
+    c = chunks(spark, d).where(F.length("content") > documents.MAX_CHARS).select("doc_id", "content")
+
+    def run(batches):
+        import pandas as pd
+
+        for b in batches:
+            rows = [(i, k, p.strip()) for i, t in zip(b["doc_id"], b["content"]) for k, p in enumerate(documents.split_content(t), 1)]
+            yield pd.DataFrame(rows, columns=["doc_id", "part", "piece"])
+
+    return c.mapInPandas(run, "doc_id long, part int, piece string").withColumn("piece", F.sha2(F.col("piece").cast("binary"), 256))
+
+
+NAMES = ["doc-9.2.0", "doc-20.2", "doc-20.2.1", "doc-18.10.3", "latest"]
+
+
+def latest_version(spark, d):
+    return lookups.latest_version(spark.createDataFrame([(n,) for n in NAMES], "version string"))
+
+
+MANUAL = [("store/guide/pools.rst", """=====
+Pools
+=====
+
+A pool holds objects.
+
+.. note:: Pools are replicated.
+
+Create
+======
+
+To create one, run::
+
+   ceph osd pool create {name} 128
+
+.. code-block:: bash
+
+   ceph osd pool create mine 128
+
+.. warning:: Numbers should be powers of two.
+
+.. versionadded:: 14.0
+
+- first
+- second *item*
+
+======  =====
+Name    Size
+======  =====
+small   1
+large   20
+======  =====
+"""), ("store/index.rst", "No sections here, only ``words``.\n\nAnd more.\n")]
+
+
+def _manual(spark) -> DataFrame:
+    return documents.parsed(spark.createDataFrame(MANUAL, "source_file string, text string"))
+
+
+def rst_sections(spark, d):
+    c = documents.chunks(_manual(spark), "1")
+    return c.select("entity_id", "title", "section_path", "content", "component", "topic", "version_added", F.size("warnings").alias("warnings"))
+
+
+def rst_code_examples(spark, d):
+    return documents.examples(_manual(spark)).select("entity_id", "language", "code", "context", F.array_join("commands_used", "|").alias("commands"))
+
+
+def rst_quality(spark, d):
+    return quality.scored(documents.chunks(_manual(spark), "1")).select("entity_id", F.round("quality_score", 6).alias("quality_score"))
+
+
+def rst_xref(spark, d):
+    return xref.build(documents.chunks(_manual(spark), "1")).select("command", "chunk_id")
+
+
+_ALT = "|".join(sorted(VOCABULARY, key=lambda p: (-len(p), p)))
+_WORDS = "len(list_filter(regexp_split_to_array(content, '[\\s\\x0B]+'), lambda w: w <> ''))"
+_MATCH = rf"(?m)(?:^|\s|\$\s+)({_ALT})(\s+[\p{{L}}\p{{N}}_\-]+(?:\s+[\p{{L}}\p{{N}}_\-]+){{0,3}})"
+_OCC = f"""occ AS (SELECT doc_id, entity_id, source_file, component, unnest(list_transform(list_zip(regexp_extract_all(title || chr(10) || content, '{_MATCH}', 1), regexp_extract_all(title || chr(10) || content, '{_MATCH}', 2)),
+  lambda z: lower(trim(regexp_replace(z[1] || z[2], '\\s+', ' ', 'g'))))) AS whole FROM chunk)"""
+_CMD = f"""{_OCC}, cmd AS (SELECT DISTINCT doc_id, entity_id, source_file, component, unnest(list_transform(range(2, len(string_split(whole, ' ')) + 1), lambda n: array_to_string(string_split(whole, ' ')[1:n], ' '))) AS command FROM occ),
+x AS (SELECT command, entity_id AS chunk_id, min(doc_id) AS doc_id, arg_min(source_file, doc_id) AS source, arg_min(component, doc_id) AS component FROM cmd GROUP BY command, entity_id)"""
+_NEAR = f"""WITH {CHUNK}, {_CMD}, near AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY command, doc_id) AS n FROM x WHERE starts_with(command, '{PREFIX}') OR starts_with('{PREFIX}', command))"""
+_QUALITY = f"""quality AS (SELECT doc_id, greatest(0::DOUBLE, least(1::DOUBLE, 0.5::DOUBLE + CASE WHEN contains(content, '```') THEN 0.3::DOUBLE ELSE 0 END
+  + CASE WHEN regexp_matches(content, '(?m)(^|\\s)({_ALT})(\\s|$|[;|&)"''])') THEN 0.2::DOUBLE ELSE 0 END
+  + CASE WHEN contains(content, '```') AND {_WORDS} > 30 THEN 0.2::DOUBLE ELSE 0 END
+  + CASE WHEN {_WORDS} < 50 AND title <> '' AND NOT contains(content, '```') THEN 0.1::DOUBLE ELSE 0 END
+  + CASE WHEN regexp_matches(content, '(?i)toctree|contents::') THEN -0.3::DOUBLE ELSE 0 END
+  + CASE WHEN {_WORDS} >= 50 THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN {_WORDS} < 20 THEN -0.2::DOUBLE ELSE 0 END
+  + CASE WHEN coalesce(toxic, 0) = 1 THEN -0.1::DOUBLE ELSE 0 END)) AS q FROM chunk LEFT JOIN labels USING (doc_id))"""
+
+#: name: (query, SQL or None)
+_ALL = {
+    "tokenize_term_counts": (tokenize_term_counts, f"WITH {CHUNK}, {TOK} SELECT component, term, count(*) AS n FROM (SELECT component, unnest(tokens) AS term FROM tok) GROUP BY component, term"),
+    "bm25_component_stats": (bm25_component_stats, f"WITH {CHUNK}, {TOK}, {STATS} SELECT component, n_docs, round(avgdl, 6) AS avgdl FROM cs"),
+    "bm25_term_idf": (bm25_term_idf, f"WITH {CHUNK}, {TOK}, {STATS} SELECT component, term, df, round(idf, 6) AS idf FROM idf"),
+    "bm25_topk_scoped": (_keyword(QUERY, "en"), _keyword_sql(QUERY, "en")),
+    "bm25_topk_global": (_keyword(QUERY, None), _keyword_sql(QUERY, None)),
+    "bm25_unknown_component": (_keyword(QUERY, "nowhere"), _keyword_sql(QUERY, None)),
+    "bm25_duplicate_query_terms": (_keyword(REPEATED, None, 20), _keyword_sql(REPEATED, None, 20)),
+    "bm25_postings_search": (bm25_postings_search, _keyword_sql(QUERY, None)),
+    "entity_ids": (entity_ids, f"WITH {CHUNK} SELECT doc_id, entity_id FROM chunk"),
+    "component_topic": (component_topic, "SELECT doc_id, lang AS component, source AS topic FROM documents"),
+    "doc_url": (doc_url, f"SELECT doc_id, '{T.DOC_BASE_URL}/' || lang || '/' || source || '/' || doc_id || '/' AS doc_url FROM documents"),
+    "quality_scores": (quality_scores, f"WITH {CHUNK}, {_QUALITY} SELECT doc_id, round(q, 6) AS quality_score FROM quality"),
+    "command_occurrences": (command_occurrences, f"WITH {CHUNK}, {_OCC} SELECT doc_id, whole AS command, count(*) AS n FROM occ GROUP BY doc_id, whole"),
+    "commands_referenced": (commands_referenced, f"WITH {CHUNK}, {_CMD} SELECT chunk.doc_id, coalesce(string_agg(command, '|' ORDER BY command), '') AS commands FROM chunk LEFT JOIN cmd USING (doc_id) GROUP BY chunk.doc_id"),
+    "command_xref": (command_xref, f"WITH {CHUNK}, {_CMD} SELECT command, chunk_id, source, component FROM x"),
+    "command_counts": (command_counts, f"WITH {CHUNK}, {_CMD} SELECT command, count(*) AS chunks FROM x GROUP BY command"),
+    "command_lookup_exact": (command_lookup_exact, f"WITH {CHUNK}, {_CMD} SELECT command, chunk_id, source FROM x WHERE command = '{COMMAND}'"),
+    "command_lookup_prefix": (command_lookup_prefix, f"{_NEAR} SELECT chunk_id, source FROM near WHERE n = 1 ORDER BY command, doc_id LIMIT 20"),
+    "command_lookup_uncapped": (command_lookup_uncapped, f"{_NEAR} SELECT chunk_id, source FROM near WHERE n = 1"),
+    "semantic_topk_global": (_semantic(None), _semantic_sql(None)),
+    "semantic_topk_scoped": (_semantic("3"), _semantic_sql("3")),
+    "hybrid_search": (_hybrid(QUERY), _hybrid_sql(QUERY)),
+    "hybrid_semantic_runs": (_hybrid("thisisnoword idiot"), _hybrid_sql("thisisnoword idiot")),
+    "hybrid_gate_skips_semantic": (_hybrid("idiot moron", None, 4), _hybrid_sql("idiot moron", None, 4)),
+    "hybrid_empty_query": (_hybrid("the of"), _hybrid_sql("the of")),
+    "hybrid_merge": (hybrid_merge, "SELECT * FROM (VALUES ('a', 'bm25', 1.0::DOUBLE), ('b', 'merged', 0.7::DOUBLE), ('d', 'semantic', 0.5::DOUBLE), ('c', 'merged', 0.175::DOUBLE), ('e', 'semantic', 0.0::DOUBLE)) t(entity_id, search_source, score)"),
+    "search_docs_component_fallback": (_hybrid("idiot", "fr", 5, True), _hybrid_sql("idiot", "fr", 5)),
+    "quality_rerank": (quality_rerank, f"WITH {CHUNK}, {_QUALITY} SELECT doc_id, round(1::DOUBLE / (1 + doc_id) * (1 + 0.3::DOUBLE * q), 9) AS score FROM quality"),
+    "example_search": (_example_search(None), _example_sql(None)),
+    "example_search_language": (_example_search("user"), _example_sql("user")),
+    "doc_page": (doc_page, f"WITH {CHUNK} SELECT entity_id, title AS section_path, content FROM chunk WHERE source_file = 'en/src1/1.rst'"),
+    "doc_chunk": (doc_chunk, f"WITH {CHUNK} SELECT entity_id, source_file, content FROM chunk WHERE doc_id = 7"),
+    "list_components": (list_components, "SELECT lang AS component, count(*) AS chunk_count, 0::BIGINT AS code_example_count, count(DISTINCT source) AS topic_count FROM documents GROUP BY lang"),
+    "list_topics": (list_topics, "SELECT DISTINCT source AS topic FROM documents WHERE lang = 'fr'"),
+    "health_totals": (health_totals, f"WITH {CHUNK}, {_CMD} SELECT (SELECT count(*) FROM documents) AS total_chunks, (SELECT count(*) FROM conversations) AS total_code_examples, (SELECT count(DISTINCT lang) FROM documents) AS components, (SELECT count(DISTINCT command) FROM x) AS command_xref_entries"),
+    "changed_files": (changed_files, f"{_SNAP} SELECT coalesce(o.source_file, n.source_file) AS source_file, CASE WHEN o.source_file IS NULL THEN 'added' WHEN n.source_file IS NULL THEN 'deleted' ELSE 'changed' END AS change FROM o FULL JOIN n ON o.source_file = n.source_file WHERE o.content IS DISTINCT FROM n.content"),
+    "incremental_upsert": (incremental_upsert, f"{_SNAP} SELECT source_file, sha256(content) AS digest FROM n"),
+    "affected_components": (affected_components, f"{_SNAP} SELECT DISTINCT string_split(coalesce(o.source_file, n.source_file), '/')[1] AS component FROM o FULL JOIN n ON o.source_file = n.source_file WHERE o.content IS DISTINCT FROM n.content"),
+    "sentence_split_chunks": (sentence_split_chunks, None),
+    "latest_version": (latest_version, "SELECT 'doc-20.2.1' AS version"),
+    "rst_sections": (rst_sections, None),
+    "rst_code_examples": (rst_code_examples, None),
+    "rst_quality": (rst_quality, None),
+    "rst_xref": (rst_xref, None),
+}
+
 
 def queries() -> dict:
-    return {}
+    return {name: q for name, (q, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}
