@@ -33,6 +33,7 @@ def update(spark: SparkSession, docs_root: str, index_root: str, version: str, e
     diff = diff.select("source_file").persist()
     components = sorted(r[0] for r in affected(diff).collect())
     if not components:
+        diff.unpersist()  # else a later scan of the same folder would be answered from it
         return []
     tables = store.load(spark, index_root, ("chunks", "code_examples", "metadata"))
     done = documents.parsed(files.join(diff, "source_file", "left_semi")).persist()
