@@ -19,8 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as T
-from .shared import BLOCK_BYTES, block_count, held_out, in_blocks, text_of
+from .shared import block_count, held_out, in_blocks, text_of
 
+KATZ_BLOCK_BYTES = 9 << 20  # a block holds pairs beside words, so it is smaller than others
 K = 5  # counts above it are not discounted
 _END = np.uint64(0x5BD1E9955BD1E995)  # stands for the end token; no word gets it but by a 64-bit collision
 _FEW = range(1, K + 1)
@@ -273,7 +274,7 @@ def _score(docs: pa.Table, found: pa.Table) -> pa.Table:
     })
 
 
-def katz_scores(docs: DataFrame, held=None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def katz_scores(docs: DataFrame, held=None, block_bytes: int = KATZ_BLOCK_BYTES) -> DataFrame:
     """Scores every text by a Katz bigram model learnt from the rows that aren't held out.
 
     held: a boolean column of documents left out of the counts; by default crc32(doc_id as text) mod 7 is 2.
