@@ -51,19 +51,18 @@ class Words:
         low = data[inner]
         low = np.where((low >= 65) & (low <= 90), low + 32, low)
         text[np.arange(int(size.sum())) + np.repeat(2 * np.arange(len(size)) + 1, size)] = low
-        owner, grams = [], []
-        for n in _GRAMS:
-            count = np.maximum(size + 2 - n + 1, 0)
-            own = np.repeat(np.arange(len(size)), count)
-            place = np.repeat(at - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-            h = np.full(len(place), n, np.uint64)
+        counts = [np.maximum(size + 2 - n + 1, 0) for n in _GRAMS]
+        self.gram_first = np.concatenate([[0], np.cumsum(sum(counts))])
+        self.grams, to = np.empty(self.gram_first[-1], np.int32), self.gram_first[:-1].copy()
+        for n, count in zip(_GRAMS, counts):  # straight to their places, word by word and then by length
+            own = np.repeat(np.arange(len(size), dtype=np.int32), count)
+            nth = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+            place, h = at[own] + nth, np.full(len(own), n, np.uint64)
             for k in range(n):
-                h = h * np.uint64(0x100000001B3) + text[place + k]
-            owner.append(own)
-            grams.append((T.mix(h) % np.uint64(_GRAM_BUCKETS)).astype(np.int32))
-        owner, grams = np.concatenate(owner), np.concatenate(grams)
-        order = np.argsort(owner, kind="stable")
-        self.grams, self.gram_first = grams[order], np.searchsorted(owner[order], np.arange(len(size) + 1))
+                h *= np.uint64(0x100000001B3)
+                h += text[place + k]
+            self.grams[to[own] + nth] = T.mix(h) % np.uint64(_GRAM_BUCKETS)
+            to += count
 
     def windows(self, width: int = WINDOW):
         """Row, first token and length of each window; half overlap; a row without words has one empty window."""
