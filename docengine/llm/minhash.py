@@ -6,10 +6,11 @@ a pair misses all of them with probability 4e-7. In each bucket every class is t
 buckets with most others (an original among its edited copies), so edges grow with a bucket's size, not its square.
 
 Two similar classes that share a bucket share its centre, so the classes around each centre are compared on their full
-sets, in blocks of bounded size: those near the centre are linked to it, and those that aren't are compared with the rest
-of the centre's classes exactly, inside the task, which emits a spanning forest of the links and never their pairs. A
-class below the threshold to its centre by more than twice the allowed distance can't be similar to one linked to it
-(the Jaccard distance is a metric). Links then meet in connected components.
+sets, in blocks of bounded size. The centre is in each of its blocks: first all classes are compared with it, which takes
+one pass, and those linked to it need no comparison with each other. The Jaccard distance is a metric, so a class farther
+from the centre than twice the allowed distance can't be linked to one that is linked to the centre; only nearer ones meet
+the blocks of those, and the classes not linked to the centre meet each other. Tasks emit a spanning forest of the links
+and never their pairs. Links then meet in connected components.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from .shared import BLOCK_BYTES, block_count, saved, text_of
 WORDS, PERCENT, BANDS, ROWS = 5, 85, 25, 5
 _GROUP = 512  # classes in a block around one centre
 _GROUP_SHINGLES = 1 << 20
+_BROADCAST_ROWS = 100_000  # of five numbers each
+FAR, NEAR = 1, 2
 
 
 def shingle_sets(column, width: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -147,23 +150,87 @@ def forest(ids: np.ndarray, linked: np.ndarray) -> list[tuple[int, int]]:
     return [(int(by_rank[k]), int(i)) for k, i in zip(label, ids) if by_rank[k] != i]
 
 
+def _groups(table: pa.Table, *columns: str) -> list[np.ndarray]:
+    """Rows of each value of these columns."""
+    values = [table[c].to_numpy() for c in columns]
+    order = np.lexsort((table["doc_id"].to_numpy(), *reversed(values)))
+    begin = np.flatnonzero(np.append(True, np.any([np.diff(x[order]) != 0 for x in values], 0)))
+    return np.split(order, begin[1:])
+
+
+def _around(table: pa.Table) -> pa.Table:
+    """Links inside each (centre, block), and the classes that aren't linked to the centre.
+
+    kind 0: a link a, b. Else a class of a centre with several blocks: NEAR if it may be linked to one that is linked to
+    the centre, FAR if it can't be.
+    """
+    out: list[tuple] = []
+    if table.num_rows:
+        full, first = shingle_sets(table["text"])
+        n, ids, cuts, blocks = np.diff(first), table["doc_id"].to_numpy(), table["cuts"].to_numpy(), table["centre"].to_numpy()
+        for at in _groups(table, "centre", "own"):
+            centre, sets = int(blocks[at[0]]), [full[first[i] : first[i + 1]] for i in at]
+            flat, owner = np.concatenate(sets), np.repeat(np.arange(len(at)), n[at])
+            linked, near = np.zeros(len(at), bool), np.zeros(len(at), bool)
+            for k in np.flatnonzero(ids[at] == centre):  # one, but where rows repeat a doc_id
+                both = np.bincount(owner, np.isin(flat, sets[k]), len(at)).astype(np.int64)
+                union = n[at] + n[at[k]] - both
+                linked |= 100 * both >= PERCENT * union
+                near |= 100 * both >= (2 * PERCENT - 100) * union
+            linked |= ids[at] == centre
+            out += [(min(centre, int(i)), max(centre, int(i)), 0, 0) for i in ids[at[linked]] if i != centre]
+            rest = ~linked
+            if cuts[at[0]] > 1:
+                out += [(int(i), 0, centre, NEAR if k else FAR) for i, k in zip(ids[at[rest]], near[rest])]
+            some = np.flatnonzero(rest | linked if (near & rest).any() else rest)
+            if rest.any() and len(some) > 1:
+                out += [(x, y, 0, 0) for x, y in _links([sets[k] for k in some], ids[at[some]])]
+    columns = list(zip(*out)) or [[]] * 4
+    return pa.table({c: pa.array(x, pa.int64()) for c, x in zip(("a", "b", "centre", "kind"), columns)})
+
+
+def _links(sets: list[np.ndarray], ids: np.ndarray) -> list[tuple[int, int]]:
+    n, both = np.array([len(x) for x in sets]), overlaps(sets)
+    return forest(ids, 100 * both >= PERCENT * (n[:, None] + n[None, :] - both))
+
+
 def _linked(table: pa.Table) -> pa.Table:
-    """Links inside each (centre, pair of blocks) among the rows of this group."""
-    a, b = [], []
+    """Links inside each (centre, side, pair of blocks) among the rows of this group."""
+    out: list[tuple] = []
     if table.num_rows:
         full, first = shingle_sets(table["text"])
-        centre, one, two, ids = (table[c].to_numpy() for c in ("centre", "one", "two", "doc_id"))
-        order = np.lexsort((ids, two, one, centre))
-        begin = np.flatnonzero(np.append(True, np.any([np.diff(x[order]) != 0 for x in (centre, one, two)], 0)))
-        for at in np.split(order, begin[1:]):
-            if len(at) < 2:
-                continue
-            n = np.diff(first)[at]
-            both = overlaps([full[first[i] : first[i + 1]] for i in at])
-            for x, y in forest(ids[at], 100 * both >= PERCENT * (n[:, None] + n[None, :] - both)):
-                a.append(x)
-                b.append(y)
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        ids = table["doc_id"].to_numpy()
+        for at in _groups(table, "centre", "side", "one", "two"):
+            if len(at) > 1:
+                out += _links([full[first[i] : first[i + 1]] for i in at], ids[at])
+    columns = list(zip(*out)) or [[]] * 2
+    return pa.table({c: pa.array(x, pa.int64()) for c, x in zip(("a", "b"), columns)})
+
+
+def _cuts(m, s):
+    """Blocks for m classes of s shingles in all."""
+    return F.greatest(F.ceil(m / _GROUP), F.ceil(s / _GROUP_SHINGLES)).cast("int")
+
+
+def _meetings(members: DataFrame, rest: DataFrame) -> DataFrame:
+    """(centre, doc_id, side, one, two): the comparisons left around centres with several blocks.
+
+    Side 1: blocks of classes linked to the centre with blocks of NEAR ones. Side 2: blocks of those not linked to it with
+    each other. members: centre, rep, n; rest: centre, rep, kind of those not linked.
+    """
+    roles = members.join(rest, ["centre", "rep"], "left").withColumn("kind", F.coalesce("kind", F.lit(0)))
+    of = lambda c: (F.coalesce(F.sum(c.cast("int")), F.lit(0)), F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)))
+    kind = F.col("kind")
+    sizes = roles.groupBy("centre").agg(_cuts(*of(kind == 0)).alias("n_linked"), _cuts(*of(kind == NEAR)).alias("n_near"), _cuts(*of(kind > 0)).alias("n_rest"))
+    roles = roles.join(sizes.where("n_rest > 0"), "centre")
+    own = lambda c: F.pmod(F.xxhash64("rep"), F.col(c)).cast("int")
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    key = ["centre", F.col("rep").alias("doc_id")]
+    first = roles.where("kind = 0 AND n_near > 0").select(*key, F.lit(1).alias("side"), own("n_linked").alias("one"), each("n_near").alias("two"))
+    second = roles.where(kind == NEAR).select(*key, F.lit(1).alias("side"), own("n_near").alias("two"), each("n_linked").alias("one"))
+    third = roles.where("kind > 0").withColumn("own", own("n_rest")).withColumn("other", each("n_rest"))
+    third = third.select(*key, F.lit(2).alias("side"), F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"))
+    return first.unionByName(second).unionByName(third)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -185,19 +252,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     centres = ranked.groupBy("band", "key").agg(F.max(F.struct("known", (-F.col("rep")).alias("least"))).alias("top"))
     edges = ranked.join(centres.select("band", "key", (-F.col("top.least")).alias("centre")), ["band", "key"]).select("centre", "rep", "n").distinct()
     edges = saved(edges, "stars")
-    sizes = edges.groupBy("centre").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
-    cuts = F.greatest(F.ceil(F.col("m") / _GROUP), F.ceil(F.col("s") / _GROUP_SHINGLES)).cast("int")
-    dealt = edges.join(sizes.withColumn("cuts", cuts).select("centre", "cuts"), "centre").withColumn("own", F.pmod(F.xxhash64("rep"), "cuts").cast("int"))
-    # A class meets its own block and every other one of its centre: pairs (one, two) with one <= two.
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    dealt = dealt.select("centre", F.col("rep").alias("doc_id"), F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"))
+    sizes = edges.groupBy("centre").agg(_cuts(F.count("*"), F.sum("n")).alias("cuts"))
     parts = 4 * block_count(docs, BLOCK_BYTES)
-    tasks = (
-        dealt.join(texts.hint("merge"), "doc_id")  # links grow with the input, so neither side is broadcast
-        .withColumn("task", F.pmod(F.xxhash64("centre", "one", "two"), F.lit(parts)).cast("int"))
+    task = lambda *by: F.pmod(F.xxhash64(*by), F.lit(parts)).cast("int")
+    # A class is in one block of each of its centres, the centre in every block of its own.
+    dealt = edges.join(sizes, "centre").withColumn("own", F.pmod(F.xxhash64("rep"), "cuts").cast("int"))
+    every = F.when(F.col("rep") == F.col("centre"), F.sequence(F.lit(0), F.col("cuts") - 1)).otherwise(F.array("own"))
+    around = dealt.select("centre", F.col("rep").alias("doc_id"), "cuts", F.explode(every).alias("own"))
+    around = (
+        around.join(texts.hint("merge"), "doc_id")  # links grow with the input, so neither side is broadcast
+        .withColumn("task", task("centre", "own"))
+        .groupBy("task").applyInArrow(_around, "a long, b long, centre long, kind long")
+    )
+    around = saved(around, "around")
+    rest = around.where("kind > 0").groupBy("centre", F.col("a").alias("rep")).agg(F.max("kind").alias("kind"))
+    members = dealt.where("cuts > 1").select("centre", "rep", "n")
+    meetings = saved(_meetings(members, rest), "meetings")
+    few = meetings.count() <= _BROADCAST_ROWS
+    more = (
+        (texts.join(F.broadcast(meetings), "doc_id") if few else meetings.join(texts.hint("merge"), "doc_id"))
+        .withColumn("task", task("centre", "side", "one", "two"))
         .groupBy("task").applyInArrow(_linked, "a long, b long")
     )
-    found = components(tasks.distinct(), "near")
+    found = components(around.where("kind = 0").select("a", "b").unionByName(more), "near")
     by_class = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component_id"))
     out = filled.join(by_class, ["set_a", "set_b"]).select("doc_id", "n_shingles", "component_id")
     out = out.unionByName(one.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))

@@ -106,7 +106,10 @@ def test_katz(spark):
         assert sum(p2(h, w) for w in one) + p2(h, "\0") == pytest.approx(1)
 
 
-def test_near_duplicates(spark):
+@pytest.mark.parametrize(("group", "broadcast"), [(512, 100_000), (4, 100_000), (3, 0)])
+def test_near_duplicates(spark, monkeypatch, group, broadcast):
+    monkeypatch.setattr(minhash, "_GROUP", group)
+    monkeypatch.setattr(minhash, "_BROADCAST_ROWS", broadcast)
     rows = corpus(3)
     base = " ".join(f"b{k}" for k in range(150))
     r = random.Random(5)
@@ -115,6 +118,10 @@ def test_near_duplicates(spark):
         for _ in range(r.randint(0, 3)):
             w[r.randrange(150)] = f"e{k}{r.randint(0, 99)}"
         rows.append((3000 + k, " ".join(w)))
+    w = base.split()
+    for k in range(24):  # a chain: each an edit of the one before, ever farther from the first
+        w[(k * 37) % 150] = f"c{k}"
+        rows.append((4000 - k, " ".join(w)))
     got = {x["doc_id"]: x for x in minhash.near_duplicates(frame(spark, rows)).collect()}
     sets = {}
     for i, t in rows:
