@@ -27,7 +27,7 @@ from .shared import BLOCK_BYTES, block_count, saved, text_of
 WORDS, PERCENT, BANDS, ROWS = 5, 85, 25, 5
 _GROUP = 512  # classes in a block around one centre
 _GROUP_SHINGLES = 1 << 20
-_BROADCAST_ROWS = 100_000  # of five numbers each
+_BROADCAST_ROWS = 100_000  # of at most five numbers each
 FAR, NEAR = 1, 2
 
 
@@ -212,6 +212,12 @@ def _cuts(m, s):
     return F.greatest(F.ceil(m / _GROUP), F.ceil(s / _GROUP_SHINGLES)).cast("int")
 
 
+def _with_sizes(rows: DataFrame, sizes: DataFrame, how: str) -> DataFrame:
+    """Joins sizes (a row for each centre with several blocks) to rows; where they are few, rows of one centre stay spread."""
+    sizes = saved(sizes, "sizes")
+    return rows.join(F.broadcast(sizes) if sizes.count() <= _BROADCAST_ROWS else sizes, "centre", how)
+
+
 def _meetings(members: DataFrame, rest: DataFrame) -> DataFrame:
     """(centre, doc_id, side, one, two): the comparisons left around centres with several blocks.
 
@@ -222,7 +228,7 @@ def _meetings(members: DataFrame, rest: DataFrame) -> DataFrame:
     of = lambda c: (F.coalesce(F.sum(c.cast("int")), F.lit(0)), F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)))
     kind = F.col("kind")
     sizes = roles.groupBy("centre").agg(_cuts(*of(kind == 0)).alias("n_linked"), _cuts(*of(kind == NEAR)).alias("n_near"), _cuts(*of(kind > 0)).alias("n_rest"))
-    roles = roles.join(sizes.where("n_rest > 0"), "centre")
+    roles = _with_sizes(roles, sizes.where("n_rest > 0"), "inner")
     own = lambda c: F.pmod(F.xxhash64("rep"), F.col(c)).cast("int")
     each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     key = ["centre", F.col("rep").alias("doc_id")]
@@ -252,11 +258,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     centres = ranked.groupBy("band", "key").agg(F.max(F.struct("known", (-F.col("rep")).alias("least"))).alias("top"))
     edges = ranked.join(centres.select("band", "key", (-F.col("top.least")).alias("centre")), ["band", "key"]).select("centre", "rep", "n").distinct()
     edges = saved(edges, "stars")
-    sizes = edges.groupBy("centre").agg(_cuts(F.count("*"), F.sum("n")).alias("cuts"))
+    sizes = edges.groupBy("centre").agg(_cuts(F.count("*"), F.sum("n")).alias("cuts")).where("cuts > 1")
     parts = 4 * block_count(docs, BLOCK_BYTES)
     task = lambda *by: F.pmod(F.xxhash64(*by), F.lit(parts)).cast("int")
     # A class is in one block of each of its centres, the centre in every block of its own.
-    dealt = edges.join(sizes, "centre").withColumn("own", F.pmod(F.xxhash64("rep"), "cuts").cast("int"))
+    dealt = _with_sizes(edges, sizes, "left").fillna(1, ["cuts"]).withColumn("own", F.pmod(F.xxhash64("rep"), "cuts").cast("int"))
     every = F.when(F.col("rep") == F.col("centre"), F.sequence(F.lit(0), F.col("cuts") - 1)).otherwise(F.array("own"))
     around = dealt.select("centre", F.col("rep").alias("doc_id"), "cuts", F.explode(every).alias("own"))
     around = (
