@@ -1,6 +1,7 @@
 """The corpus pipeline: STAGES applied to documents one after another, each on all that the one before it kept.
 
 Each function takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+A decision goes by doc_id, so rows without one pass the filters (of those with one text, one stays).
 """
 
 from __future__ import annotations
@@ -30,7 +31,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: that with the smallest doc_id. Rows that repeat it go too."""
     groups = near_duplicates(docs)
-    return _without(docs, groups.where("NOT kept").select("doc_id").distinct()).dropDuplicates(["doc_id"])
+    kept = _without(docs, groups.where("NOT kept").select("doc_id").distinct())
+    unnamed = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
+    return kept.withColumn("_unnamed", unnamed).dropDuplicates(["doc_id", "_unnamed"]).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from .shared import text_of
 K1, B = 1.2, 0.75
 THRESHOLD, OVERLAP, NGRAM = 0.6, 0.8, 5
 BLOCK = 8  # items
-SHARD_ITEMS = 20_000
+SHARD_ITEMS = 4000  # an index of as many items of 100 words takes about 100 MB
 _SENTENCE = re.compile(rb"[.?!][\x20\x09-\x0D]+")
 _BATCH = 1 << 21  # bytes of text bounded at a time
 
@@ -48,11 +48,11 @@ class Index:
     """BM25 weights of items in posting lists ordered by item, as shares of each item's own score, with block maxima."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        items = sorted((i, t or "") for i, t in items)
+        items = sorted(((i, t or "") for i, t in items), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
         split = [parts(t) for _, t in items]
         docs = [np.concatenate(p) for p in split]
         keep = [k for k, d in enumerate(docs) if len(d)]
-        self.ids = np.array([items[k][0] for k in keep], np.int64)
+        self.ids = [items[k][0] for k in keep]
         docs, split = [docs[k] for k in keep], [split[k] for k in keep]
         self.questions, self.answers = [grams(q) for q, _ in split], [grams(a) for _, a in split]
         self.answer_width = [min(NGRAM, len(a)) for _, a in split]
@@ -176,12 +176,11 @@ def leaks(index: Index, column, threshold: float = THRESHOLD, overlap: float = O
 def _found(index):
     def run(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
+            for part in T.slices(batch, _BATCH):
                 rows = leaks(index.value, part.column("text"))
                 ids = part.column("doc_id").to_pylist()
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": pa.array([ids[r[0]] for r in rows], pa.int64()), "item_id": pa.array([int(index.value.ids[r[1]]) for r in rows], pa.int64()),
+                    "doc_id": pa.array([ids[r[0]] for r in rows], pa.int64()), "item_id": pa.array([index.value.ids[r[1]] for r in rows], pa.int64()),
                     "score": pa.array([round(r[2], 6) for r in rows], pa.float64()), "question_overlap": pa.array([r[3] for r in rows], pa.float64()), "answer_overlap": pa.array([r[4] for r in rows], pa.float64()),
                 })
 
@@ -192,7 +191,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, shard_items: int = SHARD
     """(doc_id, item_id, score, question_overlap, answer_overlap) for each benchmark item that a document holds.
 
     Null and empty texts hold nothing and null or empty items are held by nothing. Repeated documents and items are each
-    reported. The benchmark is collected in shards of at most `shard_items` items, each broadcast for one pass.
+    reported, null ids as null. The benchmark is collected in shards of at most `shard_items` items, each broadcast for one pass.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))

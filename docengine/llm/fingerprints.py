@@ -163,7 +163,7 @@ def edited(text: str, following: str) -> str:
 
 
 def _fingerprinted(table: pa.Table) -> pa.Table:
-    rows = sorted(zip(table["doc_id"].to_pylist(), table["text"].to_pylist(), table["guest"].to_pylist()), key=lambda r: (-r[0], r[1]))
+    rows = sorted(zip(table["doc_id"].to_pylist(), table["text"].to_pylist(), table["guest"].to_pylist(), table["unnamed"].to_pylist()), key=lambda r: (-r[0], r[1]))
     own, guests = [r for r in rows if not r[2]], [r for r in rows if r[2]]
     texts = [r[1] for r in own]
     own_prints = fingerprints([*texts, *(g[1] for g in guests[:1])])
@@ -172,7 +172,7 @@ def _fingerprinted(table: pa.Table) -> pa.Table:
     changed_prints = fingerprints(changed)
     n = len(own)
     return pa.table({
-        "doc_id": pa.array([r[0] for r in own], pa.int64()), "n_chars": pa.array([len(t) for t in texts], pa.int64()),
+        "doc_id": pa.array([None if r[3] else r[0] for r in own], pa.int64()), "n_chars": pa.array([len(t) for t in texts], pa.int64()),
         "edited_sha256": pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in changed], pa.string()),
         "fingerprint": pa.array(own_prints[:n], pa.string()), "edited_fingerprint": pa.array(changed_prints, pa.string()),
         "near_edited": pa.array([likeness(a, b) for a, b in zip(own_prints, changed_prints)], pa.float64()),
@@ -185,10 +185,10 @@ def compared(docs: DataFrame, block_bytes: int = _BLOCK_BYTES) -> DataFrame:
 
     The next document is the one before in order of doc_id (of rows with one doc_id, the lesser text comes first), after
     the last the first. Ranges of doc_id are blocks; the largest id of each range also goes, as a guest, to the range
-    above, so no range waits for another. A sole document is its own next. Null texts are empty; an empty table gives an
+    above, so no range waits for another. A sole document is its own next. Null texts are empty, null ids come last; an empty table gives an
     empty result.
     """
-    texts = text_of(docs)
+    texts = text_of(docs).select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "text", F.col("doc_id").isNull().alias("unnamed"))
     blocks = block_count(docs, block_bytes)
     ids = texts.select("doc_id")
     bounds = ids.approxQuantile("doc_id", [k / blocks for k in range(1, blocks)], 0.2 / blocks) if stored_bytes(docs) else []
@@ -204,9 +204,9 @@ def compared(docs: DataFrame, block_bytes: int = _BLOCK_BYTES) -> DataFrame:
     guests = spark.createDataFrame(sends, "doc_id long, to int")
     guests = F.broadcast(guests) if len(sends) < 100_000 else guests
     rows = placed.join(guests, "doc_id", "left").select(
-        "doc_id", "text",
+        "doc_id", "text", "unnamed",
         F.explode(F.filter(F.array(F.struct(F.col("blk"), F.lit(False).alias("guest")), F.struct(F.col("to").alias("blk"), F.lit(True).alias("guest"))), lambda x: x["blk"].isNotNull())).alias("at"),
-    ).select("doc_id", "text", "at.blk", "at.guest")
+    ).select("doc_id", "text", "unnamed", "at.blk", "at.guest")
     out = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return rows.groupBy("blk").applyInArrow(_fingerprinted, out)
 

@@ -86,7 +86,7 @@ class _Block:
         tokens[inner], tokens[ends] = hashes, _END
         self.vocab, self.word = np.unique(tokens, return_inverse=True)
         del hashes, tokens, inner
-        self.ids, self.held = docs["doc_id"].to_numpy(), docs["held_out"].to_numpy(zero_copy_only=False)
+        self.ids, self.held = docs["doc_id"], docs["held_out"].to_numpy(zero_copy_only=False)
         self.train = np.repeat(~self.held, lengths)
         self.lengths = lengths
 
@@ -268,7 +268,7 @@ def _score(docs: pa.Table, found: pa.Table) -> pa.Table:
     per_doc = lambda x: np.add.reduceat(x, b.offsets[:-1])
     n = len(b.ids)
     return pa.table({
-        "doc_id": pa.array(b.ids, pa.int64()), "held_out": pa.array(b.held, pa.bool_()), "n_tokens": pa.array(b.lengths, pa.int64()),
+        "doc_id": b.ids, "held_out": pa.array(b.held, pa.bool_()), "n_tokens": pa.array(b.lengths, pa.int64()),
         "n_known": pa.array(per_doc((counts > 0)[b.word].astype(np.int64)), pa.int64()), "train_tokens": pa.array(np.full(n, total1), pa.int64()),
         "base_score": pa.array(per_doc(base), pa.float64()), "score": pa.array(per_doc(logs), pa.float64()),
     })
@@ -281,7 +281,7 @@ def katz_scores(docs: DataFrame, held=None, block_bytes: int = KATZ_BLOCK_BYTES)
     Returns a row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigrams) and
     score, both log10 of the whole text's probability. Null and empty texts are one end token. Words unknown to the
     training rows share one class. If every row is held out, each word has probability one in the model. Repeated rows
-    count as often as they occur. Two words are told apart by 64-bit hashes.
+    count as often as they occur; a row without doc_id is not held out. Two words are told apart by 64-bit hashes.
     """
     held = held_out(F.col("doc_id"), 7, 2) if held is None else held
     blocks = block_count(docs, block_bytes)

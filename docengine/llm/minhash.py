@@ -25,6 +25,7 @@ from .components import components
 from .shared import BLOCK_BYTES, block_count, saved, text_of
 
 WORDS, PERCENT, BANDS, ROWS = 5, 85, 25, 5
+_BYTES = 1 << 22  # text hashed at a time
 _GROUP = 512  # classes in a block around one centre
 _GROUP_SHINGLES = 1 << 20
 _BROADCAST_ROWS = 100_000  # of at most five numbers each
@@ -85,10 +86,7 @@ def densified(full: np.ndarray, first: np.ndarray, bins: int) -> np.ndarray:
 
 def _signatures(batches):
     for batch in batches:
-        for i in range(0, max(1, batch.num_rows), 2000):
-            part = batch.slice(i, 2000)
-            if not part.num_rows:
-                continue
+        for part in T.slices(batch, _BYTES):
             full, first = shingle_sets(part.column("text"))
             n = np.diff(first)
             bins = densified(full, first, BANDS * ROWS).reshape(-1, BANDS, ROWS)
@@ -244,7 +242,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Two documents are linked if 100 * |intersection| >= 85 * |union| of their shingle sets. A text of fewer than five
     words has one shingle, all of it; a text without words (null, empty, blank) has none and is linked with nothing.
-    Repeated rows of one doc_id are each returned and share its component. An empty table gives an empty result.
+    Repeated rows of one doc_id are each returned and share its component. A row without doc_id names no
+    component: its component_id is that of rows with its set, or null. An empty table gives an empty result.
     """
     texts = text_of(docs)
     one = saved(texts.mapInArrow(_signatures, "doc_id long, n_shingles long, set_a long, set_b long, keys array<bigint>"), "signatures")
@@ -284,7 +283,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     by_class = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component_id"))
     out = filled.join(by_class, ["set_a", "set_b"]).select("doc_id", "n_shingles", "component_id")
     out = out.unionByName(one.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

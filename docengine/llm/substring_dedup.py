@@ -44,6 +44,10 @@ def _cut(values: np.ndarray, ranges: int, bits: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(values, _edges(ranges, bits)), [len(values)]]).astype(np.int64)
 
 
+def _ids(docs: pa.Table) -> np.ndarray:
+    """A null doc_id stands after all others."""
+    return docs["doc_id"].fill_null(np.iinfo(np.int64).max).to_numpy()
+
 
 def _keys(ranges: int, width: int):
     def run(table: pa.Table) -> pa.Table:
@@ -85,7 +89,7 @@ def _suspects(ranges: int, width: int):
 
     def run(docs: pa.Table, bits: pa.Table) -> pa.Table:
         full, row = _windows(docs, width)[5:]
-        ids = docs["doc_id"].to_numpy()
+        ids = _ids(docs)
         keys, at, counts = np.unique(full >> _SHIFT, return_inverse=True, return_counts=True)
         flagged = counts > 1
         cut = _cut(keys, ranges, 48)
@@ -150,7 +154,7 @@ def removed_words(full, low_hashes, low_ids, window_ids, at, words: int, width:
 def _kept(width: int, with_text: bool):
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
         data, starts, ends, first, at, full, row = _windows(docs, width)
-        ids = docs["doc_id"].to_numpy()
+        ids = _ids(docs)
         hashes = np.concatenate([np.frombuffer(x, np.uint64) for x in found["hashes"].to_pylist()] or [np.zeros(0, np.uint64)])
         low = np.concatenate([np.frombuffer(x, np.int64) for x in found["low"].to_pylist()] or [np.zeros(0, np.int64)])
         order = np.argsort(hashes)
@@ -168,7 +172,7 @@ def _kept(width: int, with_text: bool):
             if with_text:
                 texts.append(kept.decode())
         out = {
-            "doc_id": pa.array(ids, pa.int64()),
+            "doc_id": docs["doc_id"],
             "n_words": pa.array(np.diff(first), pa.int64()),
             "n_removed": pa.array(total[first[1:]] - total[first[:-1]], pa.int64()),
             "kept_sha256": pa.array(shas, pa.string()),
@@ -183,7 +187,7 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, with_text: bool = False
 
     Returns a row per input row: doc_id, n_words, n_removed, kept_sha256 (and kept_text on request). Null and empty
     texts have no words and the digest of nothing. Texts with fewer than `width` words stay whole. Rows with equal
-    doc_id don't remove each other's words. An empty table gives an empty result; further columns are not looked at.
+    doc_id don't remove each other's words; a null doc_id counts as the largest. An empty table gives an empty result; further columns are not looked at.
     """
     blocks = block_count(docs, block_bytes)
     dealt = in_blocks(text_of(docs), blocks)

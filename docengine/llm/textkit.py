@@ -68,6 +68,17 @@ def flat(column) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def slices(batch, size: int):
+    """Parts of a batch with column text of at most about `size` bytes of text, a row at least."""
+    ends = np.cumsum(np.diff(flat(batch.column("text"))[1])) if batch.num_rows else np.zeros(0, np.int64)
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        n = max(1, int(np.searchsorted(ends[at:], before + size, "right")))
+        yield batch.slice(at, n)
+        at += n
+
+
 def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word starts and ends (bytes, end exclusive), and the first word of each row (one more than rows)."""
     inside = np.empty(len(data) + 1, bool)

@@ -278,18 +278,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> t
 def _scored(model):
     def run(batches):
         for batch in batches:
-            at = 0
-            sizes = np.diff(T.flat(batch.column("text"))[1]) if batch.num_rows else np.zeros(0)
-            while at < batch.num_rows:
-                n = max(1, int(np.searchsorted(np.cumsum(sizes[at:]), _BYTES, "right")))
-                part = batch.slice(at, n)
+            for part in T.slices(batch, _BYTES):
                 score = model.value.scores(part.column("text"))
                 held = part.column("held_out")
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), held, pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32), pa.int32())],
                     ["doc_id", "held_out", "score", "predicted"],
                 )
-                at += n
 
     return run
 

@@ -31,7 +31,7 @@ def resolved(pages: DataFrame, least: int = LEAST) -> DataFrame:
         rows.where(F.col("payload_bytes") >= least).groupBy("digest")
         .agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
     )
-    revisit = F.col("first").isNotNull() & (F.col("page_id") != F.col("first"))
+    revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return rows.join(firsts, "digest", "left").select(
         "page_id", "url", "html", "payload_bytes", F.lower(F.hex("digest")).alias("payload_digest"),
         F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first")).alias("refers_to"),
@@ -44,7 +44,7 @@ def record(date: str = "2024-01-01T00:00:00Z"):
     revisit = F.col("record_type") == "revisit"
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{_CRLF}Content-Type: text/html; charset=utf-8{_CRLF}Content-Length: "), F.col("payload_bytes").cast("string"), F.lit(_CRLF * 2))
     block = F.when(revisit, http).otherwise(F.concat(http, "html"))
-    urn = lambda c: F.concat(F.lit("<urn:page:"), F.col(c).cast("string"), F.lit(">"))
+    urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("none")), F.lit(">"))
     head = F.concat(
         F.lit(f"WARC/1.1{_CRLF}"), line("WARC-Type", F.col("record_type")), line("WARC-Record-ID", urn("page_id")), line("WARC-Date", F.lit(date)),
         line("WARC-Target-URI", F.regexp_replace("url", "[\\r\\n]", "%0A")), line("WARC-Payload-Digest", F.lit("sha256:"), F.col("payload_digest")),
@@ -89,7 +89,8 @@ def _read(batches):
         for raw in batch.column("content"):
             out = []
             for headers, block in parse(raw.as_py()):
-                page = int(re.search(r"urn:page:(-?\d+)", headers["warc-record-id"])[1])
+                named = re.search(r"urn:page:(-?\d+)", headers["warc-record-id"])
+                page = int(named[1]) if named else None
                 http, _, payload = block.partition(b"\r\n\r\n")
                 digest = headers["warc-payload-digest"].removeprefix("sha256:")
                 if headers["warc-type"] == "revisit":
@@ -128,7 +129,8 @@ def deduplicated(pages: DataFrame, path: str | None = None, least: int = LEAST)
 
     Of records with equal payloads of at least `least` bytes, that with the smallest page_id is a response and others are
     revisits that refer to it; smaller payloads are all responses. Null html is an empty payload, a null url an empty
-    one. Rows that repeat the smallest page_id of a payload are responses too. Line ends in a url are escaped as %0A.
+    one. Rows that repeat the smallest page_id of a payload are responses too. A null page_id
+    stays null and is never referred to. Line ends in a url are escaped as %0A.
     """
     spark = pages.sparkSession
     path = path or new_folder(spark, "warc")
