@@ -7,7 +7,9 @@ a query. An item's score is divided by the score of the item itself, so a thresh
 The bounds of blocks are first summed for all passages of a batch at once, with each distinct term of a passage counted
 once: a passage none of whose blocks reaches the threshold can have no result and is done. The others are searched by
 WAND over posting lists, with the pivot checked against block maxima. What is retrieved is verified: enough of the
-question's word 5-grams and of the answer's must be in the passage.
+question's word 5-grams and of the answer's must be in the passage. One altered word takes up to five of them, all that
+a short part has, and a word glued to its neighbours is an altered one. So a part of under SHORT words also counts as
+held if enough of its bytes are, in order and at its place in the passage.
 """
 
 from __future__ import annotations
@@ -24,6 +26,9 @@ from .shared import text_of
 
 K1, B = 1.2, 0.75
 THRESHOLD, OVERLAP, NGRAM = 0.6, 0.8, 5
+SHORT = 29  # words from which on a part keeps OVERLAP of its n-grams when one word is altered
+CONTEXT = 8  # words beside a short part that tell its place
+_ALIGNED_BYTES = 1 << 12  # of a part and its context; of longer ones words are compared whole
 BLOCK = 8  # items
 SHARD_ITEMS = 4000  # an index of as many items of 100 words takes about 100 MB
 _SENTENCE = re.compile(rb"[.?!][\x20\x09-\x0D]+")
@@ -44,6 +49,51 @@ def grams(words: np.ndarray) -> np.ndarray:
     return np.unique(T.rolling(words, min(NGRAM, len(words)))) if len(words) else np.zeros(0, np.uint64)
 
 
+def aligned(pattern: bytes, begin: int, end: int, window: bytes) -> float:
+    """Share of the bytes begin .. end of the pattern that the window holds, where the whole pattern fits it best.
+
+    The best fit has the least edit distance to any part of the window; bytes that it leaves as they are count.
+    """
+    p, w = np.frombuffer(pattern, np.uint8), np.frombuffer(window, np.uint8)
+    steps, cost = np.arange(len(w) + 1), np.zeros((len(p) + 1, len(w) + 1), np.int32)
+    for i in range(len(p)):
+        cost[i + 1, 0] = i + 1
+        np.minimum(cost[i, 1:] + 1, cost[i, :-1] + (w != p[i]), out=cost[i + 1, 1:])
+        cost[i + 1] = np.minimum.accumulate(cost[i + 1] - steps) + steps
+    i, j, held = len(p), int(cost[-1].argmin()), 0
+    while i and j:
+        same = pattern[i - 1] == window[j - 1]
+        if cost[i, j] == cost[i - 1, j - 1] + (not same):
+            held += same and begin <= i - 1 < end
+            i, j = i - 1, j - 1
+        elif cost[i, j] == cost[i - 1, j] + 1:
+            i -= 1
+        else:
+            j -= 1
+    return held / (end - begin)
+
+
+def in_place(item: list[bytes], hashes: np.ndarray, a: int, b: int, have: np.ndarray, text) -> float:
+    """Share of the bytes of words a .. b of an item that a passage holds at their place, which these words and CONTEXT
+    words on either side tell. hashes: of the item's words, have: of the passage's, text(i, j): the passage's words i .. j."""
+    low, high = max(0, a - CONTEXT), min(len(item), b + CONTEXT)
+    at, word = np.nonzero(have[:, None] == hashes[None, low:high])
+    shifts, votes = np.unique(at - word, return_counts=True)
+    best = 0.0
+    for shift in shifts[np.argsort(-votes, kind="stable")][:3].tolist():
+        size = sum(map(len, item[low:high]))
+        if size > _ALIGNED_BYTES:
+            same = [len(item[k]) for k in range(a, b) if 0 <= shift + k - low < len(have) and have[shift + k - low] == hashes[k]]
+            best = max(best, sum(same) / sum(map(len, item[a:b])))
+            continue
+        near = text(max(0, shift - CONTEXT // 2), min(len(have), shift + high - low + CONTEXT // 2))
+        near = [w if len(w) <= 2 * size else w[:size] + b" " + w[-size:] for w in near]
+        before = sum(len(w) + 1 for w in item[low:a])
+        part = b" ".join(item[a:b])
+        best = max(best, aligned(b" ".join(item[low:high]), before, before + len(part), b" ".join(near)))
+    return best
+
+
 class Index:
     """BM25 weights of items in posting lists ordered by item, as shares of each item's own score, with block maxima."""
 
@@ -57,6 +107,7 @@ class Index:
         self.questions, self.answers = [grams(q) for q, _ in split], [grams(a) for _, a in split]
         self.answer_width = [min(NGRAM, len(a)) for _, a in split]
         self.question_width = [min(NGRAM, len(q)) for q, _ in split]
+        self.words = [(items[k][1].encode("utf-8", "surrogatepass").lower().split(), len(q), d) for k, (q, _), d in zip(keep, split, docs)]
         self.longest = max(map(len, docs), default=0)
         n, mean = len(docs), (sum(map(len, docs)) / len(docs) if docs else 1)
         terms = [np.unique(d, return_counts=True) for d in docs]
@@ -157,7 +208,9 @@ def leaks(index: Index, column, threshold: float = THRESHOLD, overlap: float = O
     """(row, item position, score, question overlap, answer overlap) of verified items, the best passage of each."""
     if not len(index.ids):
         return []
-    hashes, first = T.words(column, True)
+    data, offsets = T.flat(column)
+    starts, ends, first = T.spans(data, offsets)
+    hashes = T.word_hashes(data, starts, ends, True)
     term = np.searchsorted(index.terms, hashes)
     term[(term == len(index.terms)) | (index.terms[np.minimum(term, len(index.terms) - 1)] != hashes)] = len(index.terms)
     best: dict[tuple[int, int], tuple[float, float, float]] = {}
@@ -168,6 +221,13 @@ def leaks(index: Index, column, threshold: float = THRESHOLD, overlap: float = O
             for want, width in ((index.questions[item], index.question_width[item]), (index.answers[item], index.answer_width[item])):
                 have = T.rolling(hashes[begin:end], width) if len(want) else np.zeros(0, np.uint64)
                 shares.append(float(np.isin(want, have).mean()) if len(want) else 1.0)
+            item_words, cut, own_hashes = index.words[item]
+            places = ((0, cut), (cut, len(item_words)))
+            if all(share >= overlap or b - a < SHORT for share, (a, b) in zip(shares, places)):
+                text = lambda i, j, begin=begin: [data[starts[k] : ends[k]].tobytes().lower() for k in range(begin + i, begin + j)]
+                for k, (a, b) in enumerate(places):
+                    if shares[k] < overlap <= min(shares[:k], default=1.0):
+                        shares[k] = max(shares[k], in_place(item_words, own_hashes, a, b, hashes[begin:end], text))
             if min(shares) >= overlap:
                 best[row, item] = max(best.get((row, item), (0.0, 0.0, 0.0)), (score, *shares))
     return [(r, i, *v) for (r, i), v in sorted(best.items())]
@@ -190,6 +250,7 @@ def _found(index):
 def contaminated(docs: DataFrame, benchmark: DataFrame, shard_items: int = SHARD_ITEMS) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap) for each benchmark item that a document holds.
 
+    The overlaps are shares of 5-grams or, of parts of under SHORT words, of bytes in place, if that is more.
     Null and empty texts hold nothing and null or empty items are held by nothing. Repeated documents and items are each
     reported, null ids as null. The benchmark is collected in shards of at most `shard_items` items, each broadcast for one pass.
     """

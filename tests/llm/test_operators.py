@@ -164,6 +164,25 @@ def test_decontaminate(spark):
             assert {k: round(v, 9) for k, v in index.search(terms, least)} == {k: round(v, 9) for k, v in full.items() if v >= least}
 
 
+def test_short_answers(spark):
+    r = random.Random(3)
+    pool = [f"w{k}" for k in range(900)]
+    prose = lambda n: " ".join(r.choice(pool) for _ in range(n))
+    asks = [prose(20) + "." for _ in range(7)]
+    answers = ["no.", "Ñ.", "red green.", "one two three.", "alpha beta gamma delta.", "north south east west up.", "it is seven words long in all."]
+    items = [(k, f"{a} {b}") for k, (a, b) in enumerate(zip(asks, answers))]
+    docs = [(k, f"{prose(30)} {a} {b}&&& {prose(30)}") for k, (a, b) in enumerate(zip(asks, answers))]  # glued behind
+    docs += [(10 + k, f"{prose(30)} ***{a} {b} {prose(30)}") for k, (a, b) in enumerate(zip(asks, answers))]  # glued before
+    docs += [(20, f"{asks[4]} alpha beta gamna delta."), (21, f"{prose(99)} {asks[6]} it is sevem words long in all.")]  # a letter altered
+    docs += [(30 + k, f"{prose(30)} {a} {prose(30)}") for k, a in enumerate(asks)]  # questions alone
+    docs += [(40, f"{asks[4]} {prose(3)} delta. gamma beta alpha"), (41, f"{asks[2]} knows {prose(20)} red green")]  # not in place
+    found = {(x["doc_id"], x["item_id"]) for x in decontaminate.contaminated(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {(k, k) for k in range(7)} | {(10 + k, k) for k in range(7)} | {(20, 4), (21, 6)}
+    assert found - {(41, 2)} == want  # its answer is there word by word, elsewhere
+    part = decontaminate.Index([(0, "x" * 5000 + ". one two three")])  # longer than what is aligned
+    assert len(decontaminate.leaks(part, pa.array(["x" * 5000 + ". one two three", "x" * 5000 + ". one two"]))) == 1
+
+
 def test_warc(spark, tmp_path):
     long = "<p>\r\n\r\nWARC/1.1 é</p>" * 10
     rows = [(1, "http://a/", long), (2, "http://b/\r\nX: y", long), (3, None, "short"), (4, "u", "short"), (5, "u", None), (6, "u", ""), (7, "u", long)]
