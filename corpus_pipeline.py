@@ -17,6 +17,9 @@ from docengine.llm.shared import saved
 from docengine.llm.toxicity import toxicity as toxicity_scores
 
 
+NEAR_PERCENT = 80  # five-word similarity from which two documents are near copies
+
+
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """docs without the rows whose doc_id is in ids (one column, distinct)."""
     return docs.join(ids, "doc_id", "left_anti").select(docs.columns)
@@ -30,7 +33,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: that with the smallest doc_id. Rows that repeat it go too."""
-    groups = near_duplicates(docs)
+    groups = near_duplicates(docs, NEAR_PERCENT)
     kept = _without(docs, groups.where("NOT kept").select("doc_id").distinct())
     unnamed = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
     return kept.withColumn("_unnamed", unnamed).dropDuplicates(["doc_id", "_unnamed"]).select(docs.columns)

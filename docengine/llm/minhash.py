@@ -1,8 +1,8 @@
 """Operator 6, MinHash near-dedup: one-permutation hashing with optimal densification, banded buckets, star edges.
 
 A document's set is its distinct shingles of five words. Documents with equal sets are one class, known by its smallest
-doc_id; only classes take part from there on. A class has BANDS buckets of ROWS densified bins each; at similarity 0.85
-a pair misses all of them with probability 4e-7. In each bucket every class is tied to one centre, the class that shares
+doc_id; only classes take part from there on. A class has buckets of ROWS densified bins each, so many (25 at similarity
+0.85, 37 at 0.80) that a pair at the threshold misses all of them with probability MISS at most. In each bucket every class is tied to one centre, the class that shares
 buckets with most others (an original among its edited copies), so edges grow with a bucket's size, not its square.
 
 Two similar classes that share a bucket share its centre, so the classes around each centre are compared on their full
@@ -15,6 +15,8 @@ and never their pairs. Links then meet in connected components.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,7 +26,7 @@ from . import textkit as T
 from .components import components
 from .shared import BLOCK_BYTES, block_count, saved, text_of
 
-WORDS, PERCENT, BANDS, ROWS = 5, 85, 25, 5
+WORDS, PERCENT, ROWS, MISS = 5, 85, 5, 4.5e-7
 _BYTES = 1 << 22  # text hashed at a time
 _GROUP = 512  # classes in a block around one centre
 _GROUP_SHINGLES = 1 << 20
@@ -32,6 +34,11 @@ _BROADCAST_ROWS = 100_000  # of at most five numbers each
 FAR, NEAR = 1, 2
 
 
+def bands_for(percent: int) -> int:
+    """Buckets of a class."""
+    return math.ceil(math.log(MISS) / math.log1p(-((percent / 100) ** ROWS))) if percent < 100 else 1
+
+
 def shingle_sets(column, width: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each row, sorted within the row, and the first of each row (one more than rows)."""
     hashes, first = T.words(column, True)
@@ -84,12 +91,12 @@ def densified(full: np.ndarray, first: np.ndarray, bins: int) -> np.ndarray:
     return np.take_along_axis(out, source, 1)
 
 
-def _signatures(batches):
+def _signatures(batches, bands: int):
     for batch in batches:
         for part in T.slices(batch, _BYTES):
             full, first = shingle_sets(part.column("text"))
             n = np.diff(first)
-            bins = densified(full, first, BANDS * ROWS).reshape(-1, BANDS, ROWS)
+            bins = densified(full, first, bands * ROWS).reshape(-1, bands, ROWS)
             keys = np.zeros(bins.shape[:2], np.uint64)
             for j in range(ROWS):
                 keys = T.mix(keys * np.uint64(0x9E3779B97F4A7C15) + bins[:, :, j])
@@ -156,7 +163,7 @@ def _groups(table: pa.Table, *columns: str) -> list[np.ndarray]:
     return np.split(order, begin[1:])
 
 
-def _around(table: pa.Table) -> pa.Table:
+def _around(table: pa.Table, percent: int) -> pa.Table:
     """Links inside each (centre, block), and the classes that aren't linked to the centre.
 
     kind 0: a link a, b. Else a class of a centre with several blocks: NEAR if it may be linked to one that is linked to
@@ -173,8 +180,8 @@ def _around(table: pa.Table) -> pa.Table:
             for k in np.flatnonzero(ids[at] == centre):  # one, but where rows repeat a doc_id
                 both = np.bincount(owner, np.isin(flat, sets[k]), len(at)).astype(np.int64)
                 union = n[at] + n[at[k]] - both
-                linked |= 100 * both >= PERCENT * union
-                near |= 100 * both >= (2 * PERCENT - 100) * union
+                linked |= 100 * both >= percent * union
+                near |= 100 * both >= (2 * percent - 100) * union
             linked |= ids[at] == centre
             out += [(min(centre, int(i)), max(centre, int(i)), 0, 0) for i in ids[at[linked]] if i != centre]
             rest = ~linked
@@ -182,17 +189,17 @@ def _around(table: pa.Table) -> pa.Table:
                 out += [(int(i), 0, centre, NEAR if k else FAR) for i, k in zip(ids[at[rest]], near[rest])]
             some = np.flatnonzero(rest | linked if (near & rest).any() else rest)
             if rest.any() and len(some) > 1:
-                out += [(x, y, 0, 0) for x, y in _links([sets[k] for k in some], ids[at[some]])]
+                out += [(x, y, 0, 0) for x, y in _links([sets[k] for k in some], ids[at[some]], percent)]
     columns = list(zip(*out)) or [[]] * 4
     return pa.table({c: pa.array(x, pa.int64()) for c, x in zip(("a", "b", "centre", "kind"), columns)})
 
 
-def _links(sets: list[np.ndarray], ids: np.ndarray) -> list[tuple[int, int]]:
+def _links(sets: list[np.ndarray], ids: np.ndarray, percent: int) -> list[tuple[int, int]]:
     n, both = np.array([len(x) for x in sets]), overlaps(sets)
-    return forest(ids, 100 * both >= PERCENT * (n[:, None] + n[None, :] - both))
+    return forest(ids, 100 * both >= percent * (n[:, None] + n[None, :] - both))
 
 
-def _linked(table: pa.Table) -> pa.Table:
+def _linked(table: pa.Table, percent: int) -> pa.Table:
     """Links inside each (centre, side, pair of blocks) among the rows of this group."""
     out: list[tuple] = []
     if table.num_rows:
@@ -200,7 +207,7 @@ def _linked(table: pa.Table) -> pa.Table:
         ids = table["doc_id"].to_numpy()
         for at in _groups(table, "centre", "side", "one", "two"):
             if len(at) > 1:
-                out += _links([full[first[i] : first[i + 1]] for i in at], ids[at])
+                out += _links([full[first[i] : first[i + 1]] for i in at], ids[at], percent)
     columns = list(zip(*out)) or [[]] * 2
     return pa.table({c: pa.array(x, pa.int64()) for c, x in zip(("a", "b"), columns)})
 
@@ -237,16 +244,16 @@ def _meetings(members: DataFrame, rest: DataFrame) -> DataFrame:
     return first.unionByName(second).unionByName(third)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept.
 
-    Two documents are linked if 100 * |intersection| >= 85 * |union| of their shingle sets. A text of fewer than five
+    Two documents are linked if 100 * |intersection| >= percent * |union| of their shingle sets. A text of fewer than five
     words has one shingle, all of it; a text without words (null, empty, blank) has none and is linked with nothing.
     Repeated rows of one doc_id are each returned and share its component. A row without doc_id names no
     component: its component_id is that of rows with its set, or null. An empty table gives an empty result.
     """
     texts = text_of(docs)
-    one = saved(texts.mapInArrow(_signatures, "doc_id long, n_shingles long, set_a long, set_b long, keys array<bigint>"), "signatures")
+    one = saved(texts.mapInArrow(lambda b: _signatures(b, bands_for(percent)), "doc_id long, n_shingles long, set_a long, set_b long, keys array<bigint>"), "signatures")
     filled = one.where("n_shingles > 0")
     classes = saved(filled.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("n_shingles").alias("n")), "classes")
     spots = classes.select("rep", "n", F.posexplode("keys").alias("band", "key"))
@@ -267,7 +274,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     around = (
         around.join(texts.hint("merge"), "doc_id")  # links grow with the input, so neither side is broadcast
         .withColumn("task", task("centre", "own"))
-        .groupBy("task").applyInArrow(_around, "a long, b long, centre long, kind long")
+        .groupBy("task").applyInArrow(lambda t: _around(t, percent), "a long, b long, centre long, kind long")
     )
     around = saved(around, "around")
     rest = around.where("kind > 0").groupBy("centre", F.col("a").alias("rep")).agg(F.max("kind").alias("kind"))
@@ -277,7 +284,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     more = (
         (texts.join(F.broadcast(meetings), "doc_id") if few else meetings.join(texts.hint("merge"), "doc_id"))
         .withColumn("task", task("centre", "side", "one", "two"))
-        .groupBy("task").applyInArrow(_linked, "a long, b long")
+        .groupBy("task").applyInArrow(lambda t: _linked(t, percent), "a long, b long")
     )
     found = components(around.where("kind = 0").select("a", "b").unionByName(more), "near")
     by_class = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component_id"))

@@ -60,6 +60,23 @@ def test_pipeline(spark, tmp_path):
         assert next(x for x in starts if x["doc_id"] == 500)["doc_tokens"] < whole  # its data are replaced
 
 
+def test_near_copies_from_080(spark):
+    r = random.Random(2)
+    docs = []
+    for k in range(40):
+        w = [f"n{k}x{j}" for j in range(104)]  # 100 shingles
+        docs += [(2 * k, " ".join(w)), (2 * k + 1, " ".join([*w[: 104 - k // 2], *(f"e{k}x{r.random()}" for _ in range(k // 2))]))]
+    sets = {i: shingles(t) for i, t in docs}
+    share = lambda k, percent: 100 * len(sets[2 * k] & sets[2 * k + 1]) >= percent * len(sets[2 * k] | sets[2 * k + 1])
+    frame = spark.createDataFrame([(i, t, None, "s", len(t)) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    left = {x["doc_id"] for x in corpus_pipeline.near_duplicate(spark, frame, "").collect()}
+    assert left == {i for i in sets if not (i % 2 and share(i // 2, 80))}
+    for percent in (80, 85):
+        kept = {x["doc_id"] for x in minhash.near_duplicates(frame, percent).where("kept").collect()}
+        assert kept == {i for i in sets if not (i % 2 and share(i // 2, percent))}
+    assert sum(share(k, 80) and not share(k, 85) for k in range(40)) > 3
+
+
 def test_rows_without_ids(spark):
     base = " ".join(f"w{k}" for k in range(30))
     docs = spark.createDataFrame([(1, base), (2, base + " x"), (None, base), (None, "q r s"), (None, None), (5, "other text here")], "doc_id long, text string")
