@@ -211,6 +211,22 @@ def test_fingerprints(spark):
     assert fingerprints.likeness(by[0], by[1000]) == 1.0 and fingerprints.likeness(*fingerprints.fingerprints(["", "x"])) == 0.0
 
 
+def test_likeness_of_scattered_edits():
+    r = random.Random(6)
+    for _ in range(20):
+        w = [f"{r.choice(WORDS)}{r.randint(0, 999)}" for _ in range(400)]
+        v = [f"{x}é" if k % 50 == 0 or k == 399 else x for k, x in enumerate(w)]  # edits at both ends and between
+        one, two = fingerprints.fingerprints([" ".join(w), " ".join(v)])
+        assert 0.75 < fingerprints.likeness(one, two) <= 1 and fingerprints.likeness(one, two) == fingerprints.likeness(two, one)
+    a, b, c = fingerprints.fingerprints([" ".join(f"{x}{r.randint(0, 9999)}" for _ in range(300)) for x in "abc"])
+    assert max(fingerprints.likeness(a, b), fingerprints.likeness(b, c)) < 0.1
+    long = "".join(chr(r.randint(97, 122)) for _ in range(600_000))  # more than a segment
+    codes = np.concatenate([fingerprints.code_points(t) for t in ("x", long, "")])
+    got = fingerprints.sketches(codes, np.array([1, len(long), 0]))
+    assert not got[0].any() and not got[2].any() and got[1].all()
+    assert (got[1] == fingerprints.sketches(fingerprints.code_points(long), np.array([len(long)]))[0]).all()
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
