@@ -12,8 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-LEVELS = 6  # a host's parent domains looked up: all of up to this many labels, and the last LEVELS of longer ones
-
 #: list, domain, day, on or off: the query's entries.
 ENTRIES = [
     ("spam", "spam-farm.example.org", "2024-01-10", True),
@@ -59,9 +57,11 @@ def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
     rows = captures.select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"), F.col("fetched").cast("timestamp").alias("fetched"))
     labels = F.split("host", r"\.")
     depth = F.size(labels)
-    domains = F.transform(F.sequence(F.lit(1), F.least(depth, F.lit(LEVELS))), lambda k: F.array_join(F.slice(labels, depth - k + 1, k), "."))
-    hosts = rows.select("host").where("host <> ''").distinct().select("host", F.explode(domains).alias("domain"))
-    known = hosts.join(intervals(entries), "domain").groupBy("host").agg(F.collect_list(F.struct("domain", "list", "since", "until")).alias("spans"))
+    domains = F.transform(F.sequence(F.lit(1), F.least(depth, "deepest")), lambda k: F.array_join(F.slice(labels, depth - k + 1, k), "."))
+    listed = intervals(entries)
+    deepest = listed.agg(F.coalesce(F.max(F.size(F.split("domain", r"\."))), F.lit(1)).alias("deepest"))  # no longer domain is looked up
+    hosts = rows.select("host").where("host <> ''").distinct().crossJoin(F.broadcast(deepest)).select("host", F.explode(domains).alias("domain"))
+    known = hosts.join(listed, "domain").groupBy("host").agg(F.collect_list(F.struct("domain", "list", "since", "until")).alias("spans"))
     at = F.col("fetched")
     active = F.filter(F.coalesce("spans", F.array()), lambda s: (s["since"] <= at) & (s["until"].isNull() | (at < s["until"])))
     longest = F.array_max(F.transform("active", lambda s: F.struct(F.length(s["domain"]).alias("n"), s["domain"].alias("domain"))))["domain"]

@@ -334,6 +334,14 @@ def test_url_filter(spark):
     assert got == {1: none, 2: ("block", "spam", "b.example"), 3: none, 4: ("allow", "allow,spam", "ok.b.example"), 5: none, 6: none, 7: none}
 
 
+def test_url_filter_deep_hosts(spark):
+    entries = spark.createDataFrame([("spam", "a.b.c.d.e.f.g.h", "2024-01-01", True), ("adult", "y.a.b.c.d.e.f.g.h", "2024-01-01", True)], "list string, domain string, at string, active boolean")
+    hosts = ["a.b.c.d.e.f.g.h", "x.a.b.c.d.e.f.g.h", "x.y.a.b.c.d.e.f.g.h", "b.c.d.e.f.g.h", "xa.b.c.d.e.f.g.h"]
+    captures = spark.createDataFrame([(k, f"http://{h}/", "2024-02-01") for k, h in enumerate(hosts)], "page_id long, url string, fetched string")
+    got = {x["page_id"]: (x["lists"], x["entry"]) for x in url_filter.evaluate(captures, entries).collect()}
+    assert got == {0: ("spam", "a.b.c.d.e.f.g.h"), 1: ("spam", "a.b.c.d.e.f.g.h"), 2: ("adult,spam", "y.a.b.c.d.e.f.g.h"), 3: ("", ""), 4: ("", "")}
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     pages = spark.createDataFrame([], "page_id long, url string, html string")
