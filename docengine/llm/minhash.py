@@ -27,7 +27,8 @@ from .components import components
 from .shared import BLOCK_BYTES, block_count, saved, text_of
 
 WORDS, PERCENT, ROWS, MISS = 5, 85, 5, 4.5e-7
-_BYTES = 1 << 22  # text hashed at a time
+_BYTES = 1 << 21  # text hashed at a time
+_ROWS_AT_ONCE = 2048  # whose bins are filled at a time
 _GROUP = 512  # classes in a block around one centre
 _GROUP_SHINGLES = 1 << 20
 _BROADCAST_ROWS = 100_000  # of at most five numbers each
@@ -39,26 +40,43 @@ def bands_for(percent: int) -> int:
     return math.ceil(math.log(MISS) / math.log1p(-((percent / 100) ** ROWS))) if percent < 100 else 1
 
 
-def shingle_sets(column, width: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of each row, sorted within the row, and the first of each row (one more than rows)."""
-    hashes, first = T.words(column, True)
+def _shingles(data: np.ndarray, spans, width: int, family: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and row of each shingle: windows first, then the rows of fewer words, each as one."""
+    starts, ends, first = spans
+    hashes = T.word_hashes(data, starts, ends, True, family)
     at, counts = T.window_starts(first, width)
-    full = T.rolling(hashes, width)[at] if len(at) else np.zeros(0, np.uint64)
+    full = T.rolling(hashes, width, family)[at] if len(at) else np.zeros(0, np.uint64)
     row = np.repeat(np.arange(len(counts)), counts)
     lengths = np.diff(first)
     short = np.flatnonzero((lengths > 0) & (lengths < width))
-    if len(short):  # the whole sequence, salted by its length
-        whole = np.zeros(len(short), np.uint64)
-        for j in range(width - 1):
-            have = lengths[short] > j
-            whole[have] = T.mix(whole[have] * np.uint64(0xD1342543DE82EF95) + hashes[first[short][have] + j])
-        full, row = np.concatenate([full, T.mix(whole + lengths[short].astype(np.uint64))]), np.concatenate([row, short])
+    whole = np.zeros(len(short), np.uint64)
+    for j in range(width - 1):  # salted by the length
+        have = lengths[short] > j
+        whole[have] = T.mix(whole[have] * np.uint64(0xD1342543DE82EF95) + hashes[first[short][have] + j])
+    return np.concatenate([full, T.mix(whole + lengths[short].astype(np.uint64))]), np.concatenate([row, short])
+
+
+def shingle_sets(column, width: int = WORDS, digests: bool = False):
+    """Distinct shingle hashes of each row, sorted within the row, and the first of each row (one more than rows).
+
+    digests: also two 64-bit sums over each row's set, of hashes of either family, which tell sets apart.
+    """
+    data, offsets = T.flat(column)
+    spans = T.spans(data, offsets)
+    full, row = _shingles(data, spans, width, 0)
     order = np.lexsort((full, row))
     full, row = full[order], row[order]
     new = np.ones(len(full), bool)
     new[1:] = (full[1:] != full[:-1]) | (row[1:] != row[:-1])
     full, row = full[new], row[new]
-    return full, np.searchsorted(row, np.arange(len(lengths) + 1))
+    first = np.searchsorted(row, np.arange(len(offsets)))
+    if not digests:
+        return full, first
+    other = _shingles(data, spans, width, 1)[0][order][new]
+    sums = np.zeros((2, len(full) + 1), np.uint64)
+    np.cumsum(full, out=sums[0, 1:])
+    np.cumsum(other, out=sums[1, 1:])
+    return full, first, [T.mix(s[first[1:]] - s[first[:-1]] + np.diff(first).astype(np.uint64)).view(np.int64) for s in sums]
 
 
 def densified(full: np.ndarray, first: np.ndarray, bins: int) -> np.ndarray:
@@ -92,22 +110,22 @@ def densified(full: np.ndarray, first: np.ndarray, bins: int) -> np.ndarray:
 
 
 def _signatures(batches, bands: int):
+    """Of each row: size and digests of its set and a key for each of its buckets; the key tells the band too."""
     for batch in batches:
         for part in T.slices(batch, _BYTES):
-            full, first = shingle_sets(part.column("text"))
-            n = np.diff(first)
-            bins = densified(full, first, bands * ROWS).reshape(-1, bands, ROWS)
-            keys = np.zeros(bins.shape[:2], np.uint64)
-            for j in range(ROWS):
-                keys = T.mix(keys * np.uint64(0x9E3779B97F4A7C15) + bins[:, :, j])
-            sums = np.zeros((2, len(full) + 1), np.uint64)
-            np.cumsum(full, out=sums[0, 1:])
-            np.cumsum(T.mix(full ^ np.uint64(0x5851F42D4C957F2D)), out=sums[1, 1:])
-            ids = [T.mix(s[first[1:]] - s[first[:-1]] + n.astype(np.uint64)).view(np.int64) for s in sums]
-            keys = [k.view(np.int64).tobytes() for k in keys]
+            full, first, digests = shingle_sets(part.column("text"), digests=True)
+            keys = []
+            for i in range(0, part.num_rows, _ROWS_AT_ONCE):
+                j = min(i + _ROWS_AT_ONCE, part.num_rows)
+                bins = densified(full[first[i] : first[j]], first[i : j + 1] - first[i], bands * ROWS).reshape(-1, bands, ROWS)
+                key = np.tile(np.arange(bands, dtype=np.uint64), (j - i, 1))
+                for k in range(ROWS):
+                    key = T.mix(key * np.uint64(0x9E3779B97F4A7C15) + bins[:, :, k])
+                keys.append(key.view(np.int64).reshape(-1))
+            ends = pa.array(np.arange(part.num_rows + 1) * bands, pa.int32())
             yield pa.RecordBatch.from_pydict({
-                "doc_id": part.column("doc_id"), "n_shingles": pa.array(n, pa.int64()), "set_a": pa.array(ids[0]), "set_b": pa.array(ids[1]),
-                "keys": pa.array([np.frombuffer(k, np.int64) for k in keys], pa.list_(pa.int64())),
+                "doc_id": part.column("doc_id"), "n_shingles": pa.array(np.diff(first), pa.int64()), "set_a": pa.array(digests[0]), "set_b": pa.array(digests[1]),
+                "keys": pa.ListArray.from_arrays(ends, pa.array(np.concatenate(keys))),
             })
 
 
@@ -253,16 +271,17 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     component: its component_id is that of rows with its set, or null. An empty table gives an empty result.
     """
     texts = text_of(docs)
-    one = saved(texts.mapInArrow(lambda b: _signatures(b, bands_for(percent)), "doc_id long, n_shingles long, set_a long, set_b long, keys array<bigint>"), "signatures")
+    one = saved(texts.mapInArrow(lambda b: _signatures(b, bands_for(percent)), "doc_id long, n_shingles long, set_a long, set_b long, keys array<bigint>"), "signatures", False)
     filled = one.where("n_shingles > 0")
     classes = saved(filled.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("n_shingles").alias("n")), "classes")
-    spots = classes.select("rep", "n", F.posexplode("keys").alias("band", "key"))
-    shared = spots.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
-    spots = saved(spots.join(shared, ["band", "key"]), "spots")
+    # Of the keys, most occur once: those that don't are counted alone, before any row that carries more meets them.
+    keys = classes.select(F.explode("keys").alias("key"))
+    shared = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    spots = saved(classes.select("rep", F.explode("keys").alias("key")).join(shared, "key"), "spots")
     known = spots.groupBy("rep").agg(F.sum("size").alias("known"))
-    ranked = spots.join(known, "rep")
-    centres = ranked.groupBy("band", "key").agg(F.max(F.struct("known", (-F.col("rep")).alias("least"))).alias("top"))
-    edges = ranked.join(centres.select("band", "key", (-F.col("top.least")).alias("centre")), ["band", "key"]).select("centre", "rep", "n").distinct()
+    ranked = spots.join(known.join(classes.select("rep", "n").hint("merge"), "rep"), "rep")
+    centres = ranked.groupBy("key").agg(F.max(F.struct("known", (-F.col("rep")).alias("least"))).alias("top"))
+    edges = ranked.join(centres.select("key", (-F.col("top.least")).alias("centre")), "key").select("centre", "rep", "n").distinct()
     edges = saved(edges, "stars")
     sizes = edges.groupBy("centre").agg(_cuts(F.count("*"), F.sum("n")).alias("cuts")).where("cuts > 1")
     parts = 4 * block_count(docs, BLOCK_BYTES)

@@ -6,6 +6,7 @@ time. The number of blocks follows the input, the size of one doesn't, so memory
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,26 +17,34 @@ BLOCK_BYTES = 12 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir. Only where it is unset (tests) a local one is set."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        where = found.get() if found.isDefined() else tempfile.mkdtemp(prefix="docengine-")
-        spark.conf.set("spark.checkpoint.dir", where) if spark.conf.isModifiable("spark.checkpoint.dir") else None
-        if not found.isDefined():
-            spark.sparkContext.setCheckpointDir(where)
-    return where
+    """The folder that all executors share: spark.checkpoint.dir or, where it is unset, the context's checkpoint folder.
+
+    With neither, a session in one process gets a temporary folder of its own; a cluster has none that all see, so there
+    it is an error.
+    """
+    context = spark.sparkContext
+    where, found = spark.conf.get("spark.checkpoint.dir", None), context._jsc.sc().getCheckpointDir()
+    if not where and not found.isDefined():
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="docengine-"))
+        found = context._jsc.sc().getCheckpointDir()
+    return where or found.get()
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/docengine/{name}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts lineage in a way that survives lost executors."""
+def saved(df: DataFrame, name: str, rebalance: bool = True) -> DataFrame:
+    """Writes df to the shared folder and reads it back: cuts lineage in a way that survives lost executors.
+
+    rebalance: rows are first dealt into files of the advisory size, so that a small result of many tasks is a file or
+    two; without it a task writes a file.
+    """
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.parquet(path)
+    (df.hint("rebalance") if rebalance else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -7,15 +7,15 @@ Nulls count as empty texts. Peak memory is about ten times the text bytes of one
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-_MASK = (1 << 64) - 1
-_BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
-_WINDOW_BASE = 0xD1342543DE82EF95
-_SEGMENT = 1 << 20  # bytes hashed at a time
+_BASES = (0x9E3779B97F4A7C15, 0xDA942042E4DD58B5)  # odd multipliers of the two families of hashes
+_WINDOW_BASES = (0xD1342543DE82EF95, 0xAF251AF3B0F025B5)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -29,29 +29,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def seeds(n: int, seed: int = 0) -> np.ndarray:
-    """n pseudo-random 64-bit integers that depend on the seed alone."""
-    start = (seed * 0xA0761D6478BD642F + 1) & _MASK
-    return mix(np.arange(1, n + 1, dtype=U64) * U64(_BASE) + U64(start))
-
-
-_TABLE = seeds(256, 7)
-_TABLE_LOWER = _TABLE.copy()
-_TABLE_LOWER[ord("A") : ord("Z") + 1] = _TABLE[ord("a") : ord("z") + 1]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_powers: dict[tuple[int, bool], np.ndarray] = {}
-
-
-def powers(base: int, n: int, inverse: bool = False) -> np.ndarray:
-    """base**i (or its inverse) modulo 2**64 for i < n at least."""
-    have = _powers.get((base, inverse))
-    if have is None or len(have) < n:
-        b = pow(base, -1, 1 << 64) if inverse else base
-        steps = np.full(max(n, 1 << 12), b, U64)
-        steps[0] = 1
-        have = _powers[base, inverse] = np.multiply.accumulate(steps)
-    return have
+_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+_LONG = 64  # bytes of a word from which on its hash is blake2b's
 
 
 def flat(column) -> tuple[np.ndarray, np.ndarray]:
@@ -94,19 +77,28 @@ def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
-    """A 64-bit polynomial hash of each word, well mixed. lower: A-Z count as a-z."""
-    table, out = _TABLE_LOWER if lower else _TABLE, np.empty(len(starts), U64)
-    i = 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + _SEGMENT, "right")))
-        a, b = starts[i], ends[j - 1]
-        sums = np.zeros(b - a + 1, U64)
-        np.cumsum(table[data[a:b]] * powers(_BASE, b - a)[: b - a], out=sums[1:])
-        s, e = starts[i:j] - a, ends[i:j] - a
-        out[i:j] = (sums[e] - sums[s]) * powers(_BASE, b - a, True)[s] + (e - s).astype(U64) * U64(_WINDOW_BASE)
-        i = j
-    return mix(out)
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool, family: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word. lower: A-Z count as a-z. family 0 and 1 are independent of each other.
+
+    Eight bytes at a time are mixed into the state, so words of up to eight bytes never share a hash with others of their
+    length; words of over _LONG bytes get 64 bits of their blake2b digest.
+    """
+    data = _LOWER[data] if lower else data
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    chunks = np.ndarray(len(data) + 1, "<u8", padded.data, 0, (1,))  # at each byte, it and the seven that follow
+    size = ends - starts
+    out = mix(chunks[starts] & _FIRST_BYTES[np.minimum(size, 8)] ^ (size.astype(U64) * U64(_WINDOW_BASES[family])))
+    at, done = np.flatnonzero(size > 8), 8
+    while len(at) and done < _LONG:
+        more = chunks[starts[at] + done] & _FIRST_BYTES[np.minimum(size[at] - done, 8)]
+        out[at] = mix(out[at] * U64(_BASES[family]) + more)
+        done += 8
+        at = at[size[at] > done]
+    for i in at.tolist():
+        digest = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=16).digest()
+        out[i] = int.from_bytes(digest[8 * family : 8 * family + 8], "little")
+    return out
 
 
 def words(column, lower: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -116,14 +108,14 @@ def words(column, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     return word_hashes(data, starts, ends, lower), first
 
 
-def rolling(hashes: np.ndarray, width: int) -> np.ndarray:
+def rolling(hashes: np.ndarray, width: int, family: int = 0) -> np.ndarray:
     """Rabin-Karp hashes of width consecutive entries; entry i stands for i .. i+width-1 (rows aren't looked at)."""
     n = len(hashes) - width + 1
     if n <= 0:
         return np.zeros(0, U64)
     out = hashes[:n].copy()
     for j in range(1, width):
-        out *= U64(_WINDOW_BASE)
+        out *= U64(_WINDOW_BASES[family])
         out += hashes[j : j + n]
     return mix(out)
 
