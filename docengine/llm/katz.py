@@ -1,46 +1,60 @@
-"""Operator 2, LM scoring: Katz backoff over bigrams, counted over all training documents.
-
-Good-Turing discounts for counts up to K; what they free goes, by a backoff weight that makes each context sum to one
-exactly, to the words never seen after it, in proportion to their lower-order probability. The lowest order gives its
-freed mass to one class of unknown words.
-
-The tables are partitioned by word (order 1) and by context (order 2). A block of documents sends each of its distinct
-words once and each of its distinct bigrams once, with its own count, and gets the totals back in the order it sent them,
-so that a very common word or pair costs one entry a block. What a context needs for its weight (its total, how many of
-its words have count r, and the same of the lower order) comes back with the totals; each block then evaluates the
-recursion for each of its tokens. Counts of counts travel with every answer, so no step waits for the driver.
+"""Operator 2, LM scoring: Katz backoff up to trigrams, counted over all training documents.
+
+Counts up to K are discounted by Good-Turing, with counts of counts smoothed by a straight line in the logarithms (Simple
+Good-Turing), so that every discount lies between 0 and 1. What a context frees goes, by a backoff weight that makes it sum
+to one exactly, to the words never seen after it, in proportion to their probability one order lower. The lowest order
+gives its freed mass to one class of unknown words. The first token of a text has the start as its only context.
+
+Counts are held in tables by order and bucket: order 1 by word, the others by context. A block of documents sends each of
+its distinct n-grams once, with its own count, and gets the totals back in the order it sent them, so that a very common
+n-gram costs one entry a block; of a context it also gets what its weight needs (its total, how many of its words have
+count r, and the same of the order below). A context with over _SPLIT occurrences is dealt over several buckets by word,
+and the block adds up what these tell. A context that only one block has isn't sent at all. Messages
+exist only where there are n-grams, so their number never exceeds that of the n-grams. With the answers each block
+evaluates the recursion for each of its tokens. The tables are written beside the scores.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as T
-from .shared import block_count, held_out, in_blocks, text_of
+from .shared import block_count, held_out, new_folder, text_of
 
-KATZ_BLOCK_BYTES = 9 << 20  # a block holds pairs beside words, so it is smaller than others
+KATZ_BLOCK_BYTES = 9 << 20  # a block holds n-grams beside words, so it is smaller than others
+ORDER = 3
 K = 5  # counts above it are not discounted
+FITTED = 16  # counts of counts that the line is fitted to
+_SPLIT = 1 << 20  # occurrences of a context in one bucket
 _END = np.uint64(0x5BD1E9955BD1E995)  # stands for the end token; no word gets it but by a 64-bit collision
 _FEW = range(1, K + 1)
+_STATS = 2 + FITTED  # occurrences, distinct n-grams and counts of counts
+_STAT_ROWS = 16  # rows of blk below 0 that gather them
+_LOCAL = 1 << 20  # buckets from here on hold contexts that lie in one block
 
 
-def discounts(n: np.ndarray) -> np.ndarray:
-    """d[r] for r = 0..K from counts of counts n[1..K+1]: Katz's form of Good-Turing.
+def discounts(n) -> np.ndarray:
+    """d[r] for r = 0..K from counts of counts n[1..FITTED] (n[0] isn't looked at): Katz's form of Good-Turing.
 
-    Where the counts of counts are too few for it (any d outside 0..1), absolute discounting n1/(n1+2 n2) is used.
+    log Z(r) = a + b log r is fitted to the counts of counts, each spread over the distance to its neighbours, as Simple
+    Good-Turing does. The smoothed r* / r is ((r + 1) / r) ** (b + 1), below 1 as long as b < -1: a flatter line, which
+    only a handful of words can give, is taken as -1.05, and fewer than two points as -2, the slope of Zipf's law.
     """
     n = np.asarray(n, float)
-    d = np.ones(K + 1)
-    with np.errstate(all="ignore"):
-        a = (K + 1) * n[K + 1] / n[1]
-        good = np.array([((r + 1) * n[r + 1] / n[r] / r - a) / (1 - a) for r in _FEW])
-    if not (np.isfinite(good).all() and (good > 0).all() and (good < 1).all()):
-        b = n[1] / (n[1] + 2 * n[2]) if n[1] + n[2] else 0.5
-        good = np.array([(r - min(max(b, 0.05), 0.95)) / r for r in _FEW])
-    d[1:] = good
+    r = np.flatnonzero(n[1:] > 0) + 1
+    if len(r) < 2:
+        slope = -2.0
+    else:
+        before, after = np.append(0, r[:-1]), np.append(r[1:], 2 * r[-1] - r[-2])
+        slope = np.polyfit(np.log(r), np.log(2 * n[r] / (after - before)), 1)[0]
+    e = min(slope, -1.05) + 1
+    d, top = np.ones(K + 1), (K + 1.0) ** e
+    for k in _FEW:
+        d[k] = (((k + 1) / k) ** e - top) / (1 - top)
     return d
 
 
@@ -54,250 +68,460 @@ def freed(d: np.ndarray, few: np.ndarray, total: np.ndarray) -> tuple[np.ndarray
     return np.where(none, 1 / (total + 1.0), share), np.where(none, total / (total + 1.0), 1.0)
 
 
-def first_order(counts: np.ndarray, total: int, d: np.ndarray, few: np.ndarray) -> tuple[np.ndarray, float]:
-    """Probability of each word by its count (0: the unknown class), and that of the unknown class."""
+def discounted(d: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    return d[np.where(counts > K, 0, counts)] * counts
+
+
+def first_order(counts: np.ndarray, total: int, d: np.ndarray, few: np.ndarray) -> np.ndarray:
+    """Probability of each word by its count; 0 is the unknown class."""
     if not total:
-        return np.ones(len(counts)), 1.0
+        return np.ones(len(counts))
     share, factor = freed(d, np.asarray(few, float), np.float64(total))
-    p = factor * d[np.minimum(counts, K + 1) % (K + 1)] * counts / total
-    return np.where(counts > 0, p, share), float(share)
+    return np.where(counts > 0, factor * discounted(d, counts) / total, share)
+
+
+def _squeezed(*arrays: np.ndarray) -> bytes:
+    """Arrays of non-negative integers as planes of bytes, compressed together."""
+    parts = [T.pack_ints(a) for a in arrays]
+    raw = b"".join(len(p).to_bytes(4, "little") + p for p in parts)
+    return len(raw).to_bytes(4, "little") + pa.compress(raw, "zstd", asbytes=True)
+
 
+def _arrays(squeezed: bytes) -> list[np.ndarray]:
+    raw = pa.decompress(squeezed[4:], int.from_bytes(squeezed[:4], "little"), "zstd", asbytes=True)
+    out, i = [], 0
+    while i < len(raw):
+        n = int.from_bytes(raw[i : i + 4], "little")
+        out.append(T.unpack_ints(raw[i + 4 : i + 4 + n]))
+        i += 4 + n
+    return out
 
-def _edges(ranges: int) -> np.ndarray:
-    return np.array([(k << 64) // ranges for k in range(1, ranges)], np.uint64)
 
+def _joint(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One number for each pair of numbers, in the order of the pairs; dense where the plain product is too large."""
+    base = int(b.max()) + 1 if len(b) else 1
+    if not len(a) or (int(a.max()) + 1) * base < 1 << 62:
+        return a * base + b
+    order = np.lexsort((b, a))
+    out = np.empty(len(a), np.int64)
+    out[order] = np.cumsum(np.append(False, (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0)))
+    return out
 
-def _cut(values: np.ndarray, ranges: int) -> np.ndarray:
-    return np.concatenate([[0], np.searchsorted(values, _edges(ranges)), [len(values)]]).astype(np.int64)
+
+def _rises(sizes: np.ndarray, values: np.ndarray, back: bool = False) -> np.ndarray:
+    """Values that rise within each run of these sizes, as differences from the one before (back: from them)."""
+    begin = (np.cumsum(sizes) - sizes)[sizes > 0]
+    if back:
+        sums = np.cumsum(values)
+        return sums - np.repeat(sums[begin] - values[begin], sizes[sizes > 0])
+    out = np.diff(values, prepend=0)
+    out[begin] = values[begin]
+    return out
+
+
+def _stats(total: np.ndarray) -> list[int]:
+    return [int(total.sum()), int((total > 0).sum()), *np.bincount(np.minimum(total, FITTED + 1), minlength=FITTED + 2)[1 : FITTED + 1].tolist()]
+
+
+# Documents travel once, many to a row, compressed.
+
+
+def _dealt(batches):
+    for batch in batches:
+        blk = batch.column("blk").to_numpy()
+        data, offsets = T.flat(batch.column("text"))
+        ids, held = batch.column("doc_id"), batch.column("held_out").to_numpy(zero_copy_only=False)
+        null, number = ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy()
+        order = np.argsort(blk, kind="stable")
+        size, rows = np.diff(offsets), []
+        for at in np.split(order, np.flatnonzero(np.diff(blk[order])) + 1) if len(order) else []:
+            text = b"".join(data[offsets[i] : offsets[i + 1]].tobytes() for i in at)
+            rows.append((int(blk[at[0]]), number[at].tobytes(), (held[at] + 2 * null[at]).astype(np.uint8).tobytes(), T.pack_ints(size[at]), pa.compress(text, "zstd", asbytes=True)))
+        columns = list(zip(*rows)) or [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k else pa.int32()) for k, c in enumerate(columns)], ["blk", "ids", "flags", "sizes", "texts"])
 
 
 class _Block:
     """The tokens of a block: words are numbered in order of their hash, the end token is one of them."""
 
-    def __init__(self, docs: pa.Table):
-        hashes, first = T.words(docs["text"], True)
-        rows = len(first) - 1
-        lengths = np.diff(first) + 1
-        self.offsets = np.concatenate([[0], np.cumsum(lengths)])
-        tokens = np.empty(len(hashes) + rows, np.uint64)
-        ends = self.offsets[1:] - 1
+    def __init__(self, docs: pa.Table, order: int):
+        rows = docs.select(["ids", "flags", "sizes", "texts"]).to_pylist()
+        sizes = [T.unpack_ints(r["sizes"]) for r in rows]
+        data = np.frombuffer(b"".join(pa.decompress(r["texts"], int(s.sum()), "zstd", asbytes=True) for r, s in zip(rows, sizes)), np.uint8)
+        self.blk, self.order = docs["blk"][0].as_py(), order
+        self.ids = np.concatenate([np.frombuffer(r["ids"], np.int64) for r in rows])
+        flags = np.concatenate([np.frombuffer(r["flags"], np.uint8) for r in rows])
+        self.held, self.null = flags % 2 > 0, flags > 1
+        starts, ends, first = T.spans(data, np.concatenate([[0], np.cumsum(np.concatenate(sizes))]))
+        hashes = T.word_hashes(data, starts, ends, True)
+        del data, starts, ends
+        n = len(self.ids)
+        self.lengths = np.diff(first) + 1
+        self.offsets = np.concatenate([[0], np.cumsum(self.lengths)])
+        tokens = np.full(len(hashes) + n, _END, np.uint64)
         inner = np.ones(len(tokens), bool)
-        inner[ends] = False
-        tokens[inner], tokens[ends] = hashes, _END
+        inner[self.offsets[1:] - 1] = False
+        tokens[inner] = hashes
         self.vocab, self.word = np.unique(tokens, return_inverse=True)
-        del hashes, tokens, inner
-        self.ids, self.held = docs["doc_id"], docs["held_out"].to_numpy(zero_copy_only=False)
-        self.train = np.repeat(~self.held, lengths)
-        self.lengths = lengths
+        self.train = np.repeat(~self.held, self.lengths)
+        self.own = np.bincount(self.word[self.train], minlength=len(self.vocab))
 
-    def pairs(self):
-        """Distinct (context, word), sorted by context; which pair each token is; context v (one past) is a start."""
-        v = len(self.vocab)
-        context = np.empty(len(self.word), np.int64)
-        context[1:] = self.word[:-1]
-        context[self.offsets[:-1]] = v
-        return np.unique(context * (v + 1) + self.word, return_inverse=True)
+    def known(self, found: pa.Table) -> None:
+        """Takes the answers to the words."""
+        rows = _answers(found, 1)
+        parts = [_arrays(x) for _, x in rows]
+        self.totals, self.number, alone = (np.concatenate([p[k] for p in parts]) for k in range(3))
+        self.alone = alone > 0
 
-    def contexts(self, pairs: np.ndarray):
-        """Of the distinct contexts, in order of their hash: hash, pairs of each, the order of pairs that goes with it, word."""
+    def level(self, order: int, lower: _Level | None) -> _Level:
         v = len(self.vocab)
-        own, begin, size = np.unique(pairs // (v + 1), return_index=True, return_counts=True)
-        start = T.mix(np.array([_END]))[0]
-        hashes = np.where(own < v, np.append(self.vocab, start)[own], start)
-        order = np.argsort(hashes, kind="stable")
-        size = size[order]
-        shift = np.repeat(begin[order] - (np.cumsum(size) - size), size)
-        return hashes[order], size, np.arange(len(pairs)) + shift, own[order]
+        if order == 2:
+            at = np.arange(len(self.word))
+            context = np.empty(len(self.word), np.int64)
+            context[1:] = self.word[:-1]
+            context[self.offsets[:-1]] = v  # the start
+            total = np.append(self.totals, self.totals[np.searchsorted(self.vocab, _END)])  # the start has one a text
+            return _Level(self, order, at, context, [np.append(self.number + 1, 0)], total, np.append(self.alone, False), self.totals)
+        at = np.ones(len(self.word), bool)
+        at[self.offsets[:-1]] = False
+        at = np.flatnonzero(at)
+        keys = [lower.keys[0][lower.context], self.number[lower.word] + 1]
+        return _Level(self, order, at, lower.which[at - 1], keys, lower.totals, lower.alone, lower.totals, lower.which)
+
+
+class _Level:
+    """The n-grams of a block of one order: pairs of a context and a word, sorted; which of them each token is.
+
+    at: tokens that have a context of this order, context: of each of them, keys: one or two numbers of each context,
+    total: occurrences of each context in all, alone: whether no other block has it, below: totals of the order below by
+    word or by pair, and of tokens its index there.
+    """
+
+    def __init__(self, block: _Block, order: int, at, context, keys, total, alone, below, below_of=None):
+        self.order, self.keys, self.total, self.local = order, keys, total, alone
+        v = len(block.vocab)
+        pairs, first, which = np.unique(context * v + block.word[at], return_index=True, return_inverse=True)
+        self.context, self.word = pairs // v, pairs % v
+        self.which = np.full(len(block.word), -1, np.int64)
+        self.which[at] = which
+        self.counts = np.bincount(which[block.train[at]], minlength=len(pairs))
+        index = self.word if below_of is None else below_of[at[first]]
+        self.lower, self.lower_index = below[index], index
+        self.totals, self.alone = self.counts, np.ones(len(pairs), bool)
+
+    def slots(self, block: _Block, ranges: int):
+        """Of the contexts that are sent: bucket and context of each slot, in order; pairs in the order of the slots."""
+        used = np.unique(self.context)
+        used = used[~self.local[used]]
+        split = np.minimum(np.maximum(1, -(-self.total[used] // _SPLIT)), ranges)
+        slot_context = np.repeat(used, split)
+        nth = np.arange(len(slot_context)) - np.repeat(np.cumsum(split) - split, split)
+        seed = T.mix(sum(k[slot_context].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15 + 2 * i) for i, k in enumerate(self.keys)))
+        bucket = ((seed % np.uint64(ranges)).astype(np.int64) + nth) % ranges
+        order = np.lexsort((nth, *(k[slot_context] for k in reversed(self.keys)), bucket))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        begin = np.zeros(len(self.local), np.int64)
+        begin[used], parts = np.cumsum(split) - split, np.ones(len(self.local), np.int64)
+        parts[used] = split
+        sent = np.flatnonzero(~self.local[self.context])
+        number = block.number[self.word[sent]]
+        own = self.context[sent]
+        slot = place[begin[own] + (T.mix(number.astype(np.uint64)) % parts[own].astype(np.uint64)).astype(np.int64)]
+        by = np.lexsort((number, slot))
+        return bucket[order], slot_context[order], sent[by], np.bincount(slot, minlength=len(order))
+
+    def messages(self, block: _Block, ranges: int):
+        """(bucket, payload) of each bucket that has contexts of this block."""
+        bucket, own, pairs, sizes = self.slots(block, ranges)
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        cut = np.append(np.flatnonzero(np.append(True, np.diff(bucket) != 0)), len(bucket)) if len(bucket) else [0]
+        number = block.number[self.word[pairs]]
+        for i, j in zip(cut[:-1], cut[1:]):
+            p = slice(ends[i], ends[j])
+            first = _rises(np.array([j - i]), self.keys[0][own[i:j]])
+            yield int(bucket[i]), _squeezed(sizes[i:j], _rises(sizes[i:j], number[p]), self.counts[pairs[p]], self.lower[pairs[p]], first, *(k[own[i:j]] for k in self.keys[1:]))
+
+    def answered(self, block: _Block, found: pa.Table, ranges: int) -> None:
+        """Takes the answers: totals of pairs, and of each context its total and what its weight needs."""
+        n = len(self.local)
+        seen = self.counts > 0
+        few = lambda of: [np.bincount(self.context[seen & (of == r)], minlength=n) for r in _FEW]
+        large = seen & (self.lower > K)
+        per = np.stack([np.bincount(self.context, self.counts, n).astype(np.int64), *few(self.counts), *few(self.lower), np.bincount(self.context[large], self.lower[large], n).astype(np.int64)], -1)
+        per[~self.local] = 0
+        rows = _answers(found, self.order)
+        if rows:
+            parts = [_arrays(x) for _, x in rows]
+            own, pairs = self.slots(block, ranges)[1:3]
+            self.totals = self.counts.copy()
+            self.totals[pairs] = np.concatenate([p[0] for p in parts])
+            self.alone[pairs] = np.concatenate([p[1] for p in parts]) > 0
+            for k in range(per.shape[1]):
+                per[:, k] += np.bincount(own, np.concatenate([p[k + 2] for p in parts]), n).astype(np.int64)
+        self.per = per
+
+    def local_stats(self) -> list[int]:
+        return _stats(self.counts[self.local[self.context]])
+
+    def local_table(self, block: _Block) -> bytes:
+        """The n-grams of contexts that lie in this block, as _tables() has those of a bucket."""
+        at = np.flatnonzero(self.local[self.context] & (self.counts > 0))
+        return _squeezed(*(k[self.context[at]] for k in self.keys), block.number[self.word[at]], self.counts[at])
+
+
+def _answers(found: pa.Table, order: int) -> list[tuple[int, bytes]]:
+    rows = [(r["bucket"], r["payload"]) for r in found.select(["ord", "bucket", "payload"]).to_pylist() if r["ord"] == order]
+    return sorted(rows, key=lambda r: r[0])
+
+
+_ASKED = "bucket int, blk int, payload binary, stats array<bigint>"
+_ANSWER = "blk int, ord int, bucket int, payload binary, stats array<bigint>"
+_SCORE = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+_WRITTEN = f"{_SCORE}, bucket int, payload binary, ord int"
+
+
+def _asked(rows: list[tuple]) -> pa.Table:
+    columns = list(zip(*rows)) or [[]] * 4
+    return pa.table({c: pa.array(x, t) for c, x, t in zip(("bucket", "blk", "payload", "stats"), columns, (pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64())))})
 
 
 def _ask_words(ranges: int):
     def run(docs: pa.Table) -> pa.Table:
-        b = _Block(docs)
-        counts = np.bincount(b.word[b.train], minlength=len(b.vocab))
-        cut = _cut(b.vocab, ranges)
-        some = np.arange(ranges)  # all: every block needs every range's counts of counts
-        return pa.table({
-            "rng": pa.array(some, pa.int32()),
-            "blk": pa.array(np.full(len(some), docs["blk"][0].as_py()), pa.int32()),
-            "words": pa.array([b.vocab[cut[k] : cut[k + 1]].tobytes() for k in some], pa.binary()),
-            "counts": pa.array([T.pack_ints(counts[cut[k] : cut[k + 1]]) for k in some], pa.binary()),
-        })
+        b = _Block(docs, 1)
+        edges = np.array([(k << 64) // ranges for k in range(1, ranges)], np.uint64)
+        cut = np.concatenate([[0], np.searchsorted(b.vocab, edges), [len(b.vocab)]])
+        steps = lambda x: np.diff(x, prepend=np.uint64(0))
+        return _asked([(k, b.blk, _squeezed(steps(b.vocab[i:j]), b.own[i:j]), None) for k, (i, j) in enumerate(zip(cut[:-1], cut[1:])) if j > i])
 
     return run
 
 
+def _gathered_words(table: pa.Table):
+    asked = [_arrays(x) for x in table["payload"].to_pylist()]
+    parts = [np.cumsum(a[0].view(np.uint64), dtype=np.uint64) for a in asked]
+    words, at = np.unique(np.concatenate(parts), return_inverse=True)
+    total = np.bincount(at, np.concatenate([a[1] for a in asked]), len(words)).astype(np.int64)
+    return parts, words, at, total
+
+
+def _numbers(total: np.ndarray, bucket: int, ranges: int) -> np.ndarray:
+    """A number of its own for each word, small for common ones."""
+    ranked = np.empty(len(total), np.int64)
+    ranked[np.argsort(-total, kind="stable")] = np.arange(len(total))
+    return ranked * ranges + bucket
+
+
 def _count_words(ranges: int):
     def run(table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(x, np.uint64) for x in table["words"].to_pylist()]
-        counts = np.concatenate([T.unpack_ints(x) for x in table["counts"].to_pylist()])
-        words, at = np.unique(np.concatenate(parts), return_inverse=True)
-        total = np.bincount(at, counts, len(words)).astype(np.int64)
-        ranked = np.empty(len(words), np.int64)
-        ranked[np.argsort(-total, kind="stable")] = np.arange(len(words))
-        number = ranked * ranges + table["rng"][0].as_py()  # small for common words
-        stats = [int(total.sum()), int((total > 0).sum()), *np.bincount(np.minimum(total, K + 2), minlength=K + 3)[1 : K + 2].tolist()]
-        ends = np.cumsum([len(x) for x in parts])
-        cut = [at[e - len(x) : e] for e, x in zip(ends, parts)]
-        return pa.table({
-            "blk": table["blk"], "level": pa.array([1] * len(parts), pa.int32()), "rng": table["rng"],
-            "totals": pa.array([T.pack_ints(total[x]) for x in cut], pa.binary()),
-            "more": pa.array([T.pack_ints(number[x]) for x in cut], pa.binary()),
-            "stats": pa.array([stats] * len(parts), pa.list_(pa.int64())),
-        })
+        parts, _, at, total = _gathered_words(table)
+        bucket = table["bucket"][0].as_py()
+        number, ends = _numbers(total, bucket, ranges), np.cumsum([len(x) for x in parts])
+        alone = np.bincount(at, minlength=len(total)) == 1
+        rows = [(blk, _squeezed(total[x], number[x], alone[x].astype(np.uint8))) for blk, x in zip(table["blk"].to_pylist(), (at[e - len(x) : e] for e, x in zip(ends, parts)))]
+        return _answered(rows, 1, bucket, _stats(total))
 
     return run
 
 
-def _answers(found: pa.Table, level: int):
-    """The answers of one level in order of their ranges: totals, the other part, counts of counts summed."""
-    rows = sorted((r for r in found.select(["level", "rng", "totals", "more", "stats"]).to_pylist() if r["level"] == level), key=lambda r: r["rng"])
-    totals = np.concatenate([T.unpack_ints(r["totals"]) for r in rows])
-    return totals, [r["more"] for r in rows], np.sum([r["stats"] for r in rows], 0)
+def _answered(rows: list[tuple[int, bytes]], order: int, bucket: int, stats: list[int]) -> pa.Table:
+    rows = [(blk, order, bucket, payload, None) for blk, payload in rows] + [(-1 - bucket % _STAT_ROWS, order, bucket, None, stats)]
+    types = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
+    return pa.table({c: pa.array(x, t) for c, x, t in zip(("blk", "ord", "bucket", "payload", "stats"), zip(*rows), types)})
+
 
+def _blocks(docs: pa.Table, found: pa.Table, order: int, ranges: int) -> tuple[_Block, list[_Level]]:
+    """A block with the levels from 2 to order; all but the last have their answers."""
+    b = _Block(docs, order)
+    b.known(found)
+    levels: list[_Level] = []
+    for k in range(2, order + 1):
+        if levels:
+            levels[-1].answered(b, found, ranges)
+        levels.append(b.level(k, levels[-1] if levels else None))
+    return b, levels
 
-def _ask_pairs(ranges: int):
+
+def _ask(order: int, ranges: int):
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
-        b = _Block(docs)
-        totals, more, _ = _answers(found, 1)
-        number = np.concatenate([T.unpack_ints(x) for x in more])
-        pairs, which = b.pairs()
-        counts = np.bincount(which[b.train], minlength=len(pairs))
-        hashes, size, order, own = b.contexts(pairs)
-        known = np.append(number + 1, 0)[own]  # the start of a text has no number
-        word = (pairs % (len(b.vocab) + 1))[order]
-        counts, cut = counts[order], _cut(hashes, ranges)
-        begin = np.concatenate([[0], np.cumsum(size)])
-        some = np.arange(ranges)  # all: every block needs every range's counts of counts
-        part = [slice(begin[cut[k]], begin[cut[k + 1]]) for k in some]
-        return pa.table({
-            "rng": pa.array(some, pa.int32()),
-            "blk": pa.array(np.full(len(some), docs["blk"][0].as_py()), pa.int32()),
-            "contexts": pa.array([T.pack_ints(known[cut[k] : cut[k + 1]]) for k in some], pa.binary()),
-            "sizes": pa.array([T.pack_ints(size[cut[k] : cut[k + 1]]) for k in some], pa.binary()),
-            "words": pa.array([T.pack_ints(number[word[p]]) for p in part], pa.binary()),
-            "counts": pa.array([T.pack_ints(counts[p]) for p in part], pa.binary()),
-            "lower": pa.array([T.pack_ints(totals[word[p]]) for p in part], pa.binary()),
-        })
+        if not len(docs):
+            return _asked([])
+        b, levels = _blocks(docs, found, order, ranges)
+        rows = [(k, b.blk, x, None) for k, x in levels[-1].messages(b, ranges)]
+        return _asked([*rows, (b.blk % ranges, b.blk, None, levels[-1].local_stats())])
 
     return run
 
 
-def _count_pairs(table: pa.Table) -> pa.Table:
-    """Of one range of contexts: totals of pairs, and of each context its total, its few and its words' lower totals."""
-    column = lambda name: [T.unpack_ints(x) for x in table[name].to_pylist()]
-    own = column("contexts")
-    sizes, words = column("sizes"), column("words")
-    lengths = np.array([len(x) for x in words])
-    contexts, at = np.unique(np.concatenate(own), return_inverse=True)
-    context = np.repeat(at, np.concatenate(sizes))
-    words = np.concatenate(words)
-    base = int(words.max()) + 1 if len(words) else 1
-    if len(contexts) * base < 1 << 62:
-        keys, pair = np.unique(context * base + words, return_inverse=True)
-        owner = keys // base
-        del keys
-    else:
-        order = np.lexsort((words, context))
-        new = np.append(True, (context[order][1:] != context[order][:-1]) | (words[order][1:] != words[order][:-1]))
-        pair = np.empty(len(order), np.int64)
-        pair[order] = np.cumsum(new) - 1
-        owner = context[order][new]
-    del words, context
-    total = np.bincount(pair, np.concatenate(column("counts"))).astype(np.int64)
-    lower = np.zeros(len(total), np.int64)
-    lower[pair] = np.concatenate(column("lower"))
-    n, seen = len(contexts), total > 0
-    per = [np.bincount(owner, total, n).astype(np.int64)]
-    per += [np.bincount(owner[total == r], minlength=n) for r in _FEW]
-    per += [np.bincount(owner[seen & (lower == r)], minlength=n) for r in _FEW]
-    per += [np.bincount(owner[seen & (lower > K)], lower[seen & (lower > K)], n).astype(np.int64)]
-    stats = [int(total.sum()), int(seen.sum()), *np.bincount(np.minimum(total, K + 2), minlength=K + 3)[1 : K + 2].tolist()]
-    ends, context_ends = np.cumsum(lengths), np.cumsum([len(x) for x in own])
-    mine = [at[e - len(x) : e] for e, x in zip(context_ends, own)]
-    return pa.table({
-        "blk": table["blk"], "level": pa.array([2] * len(own), pa.int32()), "rng": table["rng"],
-        "totals": pa.array([T.pack_ints(total[pair[e - m : e]]) for e, m in zip(ends, lengths)], pa.binary()),
-        "more": pa.array([b"".join(_framed(T.pack_ints(x[m])) for x in per) for m in mine], pa.binary()),
-        "stats": pa.array([stats] * len(own), pa.list_(pa.int64())),
-    })
-
-
-def _framed(raw: bytes) -> bytes:
-    return len(raw).to_bytes(4, "little") + raw
-
-
-def _unframed(raw: bytes) -> list[np.ndarray]:
-    out, i = [], 0
-    while i < len(raw):
-        n = int.from_bytes(raw[i : i + 4], "little")
-        out.append(T.unpack_ints(raw[i + 4 : i + 4 + n]))
-        i += 4 + n
-    return out
+def _gathered(table: pa.Table, order: int):
+    """What blocks sent to one bucket: messages, contexts with the index of each slot's, pairs with the index of each entry's."""
+    sent = table.filter(pc.is_valid(table["payload"]))
+    asked = [_arrays(x) for x in sent["payload"].to_pylist()]
+    for a in asked:
+        a[1], a[4] = _rises(a[0], a[1], True), np.cumsum(a[4])
+    every = lambda k: np.concatenate([a[k] for a in asked]) if asked else np.zeros(0, np.int64)
+    keys = [every(4)] if order == 2 else [every(4), every(5)]
+    joint = keys[0] if order == 2 else _joint(*keys)
+    contexts, first, slot = np.unique(joint, return_index=True, return_inverse=True)
+    context, words = np.repeat(slot, every(0)), every(1)
+    pairs, sample, pair = np.unique(_joint(context, words), return_index=True, return_inverse=True)
+    total = np.bincount(pair, every(2), len(pairs)).astype(np.int64)
+    return sent, asked, slot, pair, total, context[sample], words[sample], every(3)[sample], [k[first] for k in keys]
+
+
+def _count(order: int):
+    def run(table: pa.Table) -> pa.Table:
+        sent, asked, slot, pair, total, owner, _, lower, keys = _gathered(table, order)
+        n, seen = len(keys[0]), total > 0
+        few = lambda of: [np.bincount(owner[seen & (of == r)], minlength=n) for r in _FEW]
+        large = seen & (lower > K)
+        per = [np.bincount(owner, total, n).astype(np.int64), *few(total), *few(lower), np.bincount(owner[large], lower[large], n).astype(np.int64)]
+        alone, rows, i, j = np.bincount(pair, minlength=len(total)) == 1, [], 0, 0
+        for blk, a in zip(sent["blk"].to_pylist(), asked):
+            mine, own = pair[i : i + len(a[1])], slot[j : j + len(a[0])]
+            i, j = i + len(mine), j + len(own)
+            rows.append((blk, _squeezed(total[mine], alone[mine].astype(np.uint8), *(x[own] for x in per))))
+        stats = np.sum([_stats(total), *(x for x in table["stats"].to_pylist() if x)], 0).tolist()
+        return _answered(rows, order, table["bucket"][0].as_py(), stats)
+
+    return run
+
+
+def _written(rows: list[tuple[int, int, bytes]]) -> pa.Table:
+    """Rows of the tables (order, bucket, payload), without the columns of scores."""
+    columns = list(zip(*rows)) or [[]] * 3
+    out = {name: pa.nulls(len(rows), kind) for name, kind in zip((c.split()[0] for c in _SCORE.split(", ")), _SCORE_TYPES)}
+    return pa.table(out | {"bucket": pa.array(columns[1], pa.int32()), "payload": pa.array(columns[2], pa.binary()), "ord": pa.array(columns[0], pa.int32())})
+
 
+_SCORE_TYPES = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
 
-def second_order(total, context_total, few, lower_few, lower_rest, p_lower, total1, d1, d2, few1):
-    """P(word | context) of each pair. Arrays by pair; few and lower_few have K columns."""
-    share, factor = freed(d2, few, context_total)
-    factor1 = freed(d1, np.asarray(few1, float), np.float64(total1))[1] if total1 else 1.0
-    seen_lower = factor1 * ((lower_few * np.arange(1, K + 1) * d1[1:]).sum(-1) + lower_rest) / max(total1, 1)
-    weight = share / np.maximum(1 - seen_lower, 1e-300)
-    seen = factor * d2[np.minimum(total, K + 1) % (K + 1)] * total / np.maximum(context_total, 1)
-    return np.where(context_total == 0, p_lower, np.where(total > 0, seen, weight * p_lower))
-
-
-def _score(docs: pa.Table, found: pa.Table) -> pa.Table:
-    b = _Block(docs)
-    counts, _, stats1 = _answers(found, 1)
-    totals, more, stats2 = _answers(found, 2)
-    total1, distinct = int(stats1[0]), int(stats1[1])
-    few1, d1, d2 = stats1[2 : 2 + K], discounts([0, *stats1[2:]]), discounts([0, *stats2[2:]])
-    p1 = first_order(counts, total1, d1, few1)[0]
-    pairs, which = b.pairs()
-    _, size, order, _ = b.contexts(pairs)
-    frames = [_unframed(x) for x in more]
-    per = np.stack([np.concatenate([f[k] for f in frames]) for k in range(2 * K + 2)], -1)
-    p = np.empty(len(pairs))
-    word = (pairs % (len(b.vocab) + 1))[order]
-    ends = np.concatenate([[0], np.cumsum(size)])
-    for i in range(0, len(size), 20_000):  # a slice of contexts at a time, for memory
-        j = min(i + 20_000, len(size))
-        own, at = np.repeat(per[i:j], size[i:j], axis=0), slice(ends[i], ends[j])
-        p[order[at]] = second_order(totals[at], own[:, 0], own[:, 1 : K + 1], own[:, K + 1 : 2 * K + 1], own[:, -1], p1[word[at]], total1, d1, d2, few1)
-    logs = np.log10(p)[which]
-    base = np.log10((counts + 1) / (total1 + distinct + 1))[b.word]
-    per_doc = lambda x: np.add.reduceat(x, b.offsets[:-1])
-    n = len(b.ids)
-    return pa.table({
-        "doc_id": b.ids, "held_out": pa.array(b.held, pa.bool_()), "n_tokens": pa.array(b.lengths, pa.int64()),
-        "n_known": pa.array(per_doc((counts > 0)[b.word].astype(np.int64)), pa.int64()), "train_tokens": pa.array(np.full(n, total1), pa.int64()),
-        "base_score": pa.array(per_doc(base), pa.float64()), "score": pa.array(per_doc(logs), pa.float64()),
-    })
-
-
-def katz_scores(docs: DataFrame, held=None, block_bytes: int = KATZ_BLOCK_BYTES) -> DataFrame:
-    """Scores every text by a Katz bigram model learnt from the rows that aren't held out.
+
+def _tables(order: int, ranges: int):
+    """The counts of one bucket: of order 1 hash, number and count of each word, of others context, word and count."""
+
+    def run(table: pa.Table) -> pa.Table:
+        bucket = table["bucket"][0].as_py()
+        if order == 1:
+            _, words, _, total = _gathered_words(table)
+            return _written([(1, bucket, _squeezed(np.diff(words, prepend=np.uint64(0)), _numbers(total, bucket, ranges), total))])
+        total, owner, words, _, keys = _gathered(table, order)[4:]
+        seen = np.flatnonzero(total)
+        return _written([(order, bucket, _squeezed(*(k[owner[seen]] for k in keys), words[seen], total[seen]))])
+
+    return run
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    rows = [r for r in table.select(["ord", "stats"]).to_pylist() if r["stats"]]
+    by = {k: np.sum([r["stats"] for r in rows if r["ord"] == k], 0).tolist() for k in {r["ord"] for r in rows}}
+    return pa.table({"of": pa.array(list(by), pa.int32()), "sums": pa.array(list(by.values()), pa.list_(pa.int64()))})
+
+
+def _score(order: int, ranges: int):
+    def run(docs: pa.Table, found: pa.Table) -> pa.Table:
+        if not len(docs):
+            return _written([])
+        b, levels = _blocks(docs, found, order, ranges)
+        if levels:
+            levels[-1].answered(b, found, ranges)
+        flat = next(x for x in found["sums"].to_pylist() if x)
+        stats = [flat[k * _STATS : (k + 1) * _STATS] for k in range(order)]
+        total, distinct, few = int(stats[0][0]), int(stats[0][1]), stats[0][2 : 2 + K]
+        d = [None, *(discounts([0, *s[2:]]) for s in stats)]
+        p = first_order(b.totals, total, d[1], few)  # of each word, then of each pair of the order reached
+        factor = freed(d[1], np.asarray(few, float), np.float64(total))[1] if total else 1.0
+        below, logs = np.array([total]), np.log10(p)[b.word]
+        factors, owner = np.array([factor]), np.zeros(len(p), np.int64)
+        for level in levels:
+            per, at = level.per, level.lower_index
+            share, own_factor = freed(d[level.order], per[:, 1 : K + 1], per[:, 0])
+            # What the order below gives to the words seen here; they have one lower context, that of any of them.
+            under = np.zeros(len(per), np.int64)
+            under[level.context] = owner[at]
+            lower = (per[:, K + 1 : 2 * K + 1] * np.arange(1, K + 1) * d[level.order - 1][1:]).sum(-1) + per[:, -1]
+            lower = factors[under] * lower / np.maximum(below[under], 1)
+            weight = share / np.maximum(1 - lower, 1e-300)
+            c = level.context
+            seen = own_factor[c] * discounted(d[level.order], level.totals) / np.maximum(per[c, 0], 1)
+            p = np.where(per[c, 0] == 0, p[at], np.where(level.totals > 0, seen, weight[c] * p[at]))
+            below, factors, owner = per[:, 0], own_factor, c
+            has = level.which >= 0
+            logs[has] = np.log10(p)[level.which[has]]
+        base = np.log10((b.totals + 1) / (total + distinct + 1))[b.word]
+        per_doc = lambda x: np.add.reduceat(x, b.offsets[:-1])
+        n = len(b.ids)
+        columns = [
+            pa.array(b.ids, mask=b.null), pa.array(b.held), pa.array(b.lengths, pa.int64()), pa.array(per_doc((b.totals > 0)[b.word].astype(np.int64)), pa.int64()),
+            pa.array(np.full(n, total), pa.int64()), pa.array(per_doc(base), pa.float64()), pa.array(per_doc(logs), pa.float64()),
+            pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(np.zeros(n, np.int32)),
+        ]
+        local = _written([(level.order, _LOCAL + b.blk, level.local_table(b)) for level in levels])
+        return pa.concat_tables([pa.Table.from_arrays(columns, local.schema.names), local])
+
+    return run
+
+
+def katz_scores(docs: DataFrame, held=None, order: int = ORDER, block_bytes: int = KATZ_BLOCK_BYTES, path: str | None = None) -> DataFrame:
+    """Scores every text by a Katz model of this order (1 to 3) learnt from the rows that aren't held out.
 
     held: a boolean column of documents left out of the counts; by default crc32(doc_id as text) mod 7 is 2.
     Returns a row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigrams) and
     score, both log10 of the whole text's probability. Null and empty texts are one end token. Words unknown to the
     training rows share one class. If every row is held out, each word has probability one in the model. Repeated rows
-    count as often as they occur; a row without doc_id is not held out. Two words are told apart by 64-bit hashes.
+    count as often as they occur; a row without doc_id is not held out; an empty table gives an empty result; a very long
+    text makes a block of its own. Two words are told apart by 64-bit hashes. Ties don't arise; further columns aren't
+    looked at.
+
+    Scores and tables are written to a folder (path, else one in the shared folder) partitioned by ord: 0 has the scores,
+    1 to order the counts by bucket, which counts_of() reads.
     """
+    if order not in (1, 2, 3):
+        raise ValueError("order must be 1, 2 or 3")
+    spark = docs.sparkSession
     held = held_out(F.col("doc_id"), 7, 2) if held is None else held
     blocks = block_count(docs, block_bytes)
-    dealt = in_blocks(text_of(docs.withColumn("held_out", F.coalesce(held, F.lit(False))), "held_out"), blocks)
-    answer = "blk int, level int, rng int, totals binary, more binary, stats array<bigint>"
-    words = (
-        dealt.groupBy("blk").applyInArrow(_ask_words(blocks), "rng int, blk int, words binary, counts binary")
-        .groupBy("rng").applyInArrow(_count_words(blocks), answer)
-    )
-    pairs = (
-        dealt.groupBy("blk").cogroup(words.groupBy("blk"))
-        .applyInArrow(_ask_pairs(blocks), "rng int, blk int, contexts binary, sizes binary, words binary, counts binary, lower binary")
-        .groupBy("rng").applyInArrow(_count_pairs, answer)
-    )
-    out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt.groupBy("blk").cogroup(words.unionByName(pairs).groupBy("blk")).applyInArrow(_score, out)
+    rows = text_of(docs.withColumn("held_out", F.coalesce(held, F.lit(False))), "held_out")
+    rows = rows.withColumn("blk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
+    dealt = rows.mapInArrow(_dealt, "blk int, ids binary, flags binary, sizes binary, texts binary")
+    asked = dealt.groupBy("blk").applyInArrow(_ask_words(blocks), _ASKED)
+    # Answers are exchanged once an order and read whole by all that use them: a filter or a projection on one of these
+    # would be moved below its exchange and make another of it.
+    found = asked.groupBy("bucket").applyInArrow(_count_words(blocks), _ANSWER).repartition("blk")
+    tables = [asked.groupBy("bucket").applyInArrow(_tables(1, blocks), _WRITTEN)]
+    for k in range(2, order + 1):
+        asked = dealt.groupBy("blk").cogroup(found.groupBy("blk")).applyInArrow(_ask(k, blocks), _ASKED)
+        tables.append(asked.groupBy("bucket").applyInArrow(_tables(k, blocks), _WRITTEN))
+        found = found.unionByName(asked.groupBy("bucket").applyInArrow(_count(k), _ANSWER).repartition("blk"))
+    # Counts of counts of all orders: one row, which joins the answers to the words.
+    sums = found.groupBy("blk").applyInArrow(_summed, "of int, sums array<bigint>")
+    cells = [(k, i) for k in range(1, order + 1) for i in range(_STATS)]
+    each = [F.coalesce(F.sum(F.when(F.col("of") == k, F.col("sums")[i])), F.lit(0)).alias(f"s{k}_{i}") for k, i in cells]
+    one = sums.agg(*each).select(F.lit(1).alias("of"), F.array(*[f"s{k}_{i}" for k, i in cells]).alias("sums"))
+    found = found.join(F.broadcast(one), F.col("ord") == F.col("of"), "left")
+    scores = dealt.groupBy("blk").cogroup(found.groupBy("blk")).applyInArrow(_score(order, blocks), _WRITTEN)
+    for t in tables:
+        scores = scores.unionByName(t)
+    path = path or new_folder(spark, "katz")
+    scores.write.partitionBy("ord").parquet(path)
+    names = [c.split()[0] for c in _SCORE.split(", ")]
+    return spark.read.schema(f"{_SCORE}, bucket int, payload binary, ord int").parquet(path).where("ord = 0").select(*names)
+
+
+def counts_of(spark, path: str, order: int) -> DataFrame:
+    """The stored counts of one order: (hash, number, count) of words, or (context, [word before], word, count) by number."""
+
+    def run(batches):
+        for batch in batches:
+            for payload in batch.column("payload").to_pylist():
+                a = _arrays(payload)
+                if order == 1:
+                    a[0] = np.cumsum(a[0].view(np.uint64), dtype=np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in a], names)
+
+    names = {1: ["hash", "number", "count"], 2: ["context", "word", "count"], 3: ["context", "before", "word", "count"]}[order]
+    stored = spark.read.schema("bucket int, payload binary, ord int").parquet(path).where(F.col("ord") == order).select("payload")
+    return stored.mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

@@ -67,43 +67,80 @@ def test_substring_dedup(spark):
     assert got == want and sum(x[2] for x in want) > 100
 
 
-def test_katz(spark):
+def smoothed(counts, limit=16, K=5):
+    """Katz discounts of a Counter of n-grams, by Simple Good-Turing, in plain Python."""
+    n = Counter(c for c in counts.values() if c <= limit)
+    rs = sorted(n)
+    if len(rs) < 2:
+        slope = -2.0
+    else:
+        points = []
+        for k, r in enumerate(rs):
+            low = rs[k - 1] if k else 0
+            high = rs[k + 1] if k + 1 < len(rs) else 2 * r - low
+            points.append((math.log(r), math.log(2 * n[r] / (high - low))))
+        mx, my = (sum(p[i] for p in points) / len(points) for i in (0, 1))
+        slope = sum((x - mx) * (y - my) for x, y in points) / sum((x - mx) ** 2 for x, _ in points)
+    smooth = lambda r: r ** min(slope, -1.05)
+    top = (K + 1) * smooth(K + 1) / smooth(1)
+    return {r: ((r + 1) * smooth(r + 1) / smooth(r) / r - top) / (1 - top) for r in range(1, K + 1)}
+
+
+@pytest.mark.parametrize(("order", "split"), [(3, 1 << 20), (3, 3), (2, 2), (1, 1 << 20)])
+def test_katz(spark, monkeypatch, tmp_path, order, split):
+    monkeypatch.setattr(katz, "_SPLIT", split)
     rows = corpus(2)
-    got = {r["doc_id"]: r for r in katz.katz_scores(frame(spark, rows), block_bytes=300).collect()}
+    path = f"{tmp_path}/tables"
+    got = {r["doc_id"]: r for r in katz.katz_scores(frame(spark, rows), order=order, block_bytes=300, path=path).collect()}
     texts = [(i, [*words(t, True), "</s>"], zlib.crc32(str(i).encode()) % 7 == 2) for i, t in rows]
-    one, two = Counter(), Counter()
+    grams = {k: Counter() for k in (1, 2, 3)}
     for _, w, held in texts:
         if not held:
-            one.update(w)
-            two.update(zip(["<s>", *w], w))
-    n, v, K = sum(one.values()), len(one), katz.K
-    d1, d2 = (katz.discounts([0, *(list(c.values()).count(r) for r in range(1, K + 2))]) for c in (one, two))
-    cut = lambda d, c: d[c] if c <= K else 1.0
-    free = 1 - sum(cut(d1, c) * c / n for c in one.values())
-    f1 = 1.0 if free > 1e-12 else n / (n + 1)
-    p1 = lambda w: f1 * cut(d1, one[w]) * one[w] / n if one[w] else (free if free > 1e-12 else 1 / (n + 1))
-    after = {}
-    for (h, w), c in two.items():
-        after.setdefault(h, {})[w] = c
-
-    def p2(h, w):
-        if h not in after:
-            return p1(w)
-        total = sum(after[h].values())
-        left = 1 - sum(cut(d2, c) * c / total for c in after[h].values())
+            grams[1].update((x,) for x in w)
+            grams[2].update(zip(["<s>", *w], w))
+            grams[3].update(zip(["<s>", *w], w, w[1:]))
+    n, v = sum(grams[1].values()), len(grams[1])
+    d = {k: smoothed(c) for k, c in grams.items()}
+    assert all(0 < x < 1 for k in d for x in d[k].values())
+    after = {k: {} for k in grams}
+    for k, c in grams.items():
+        for g, m in c.items():
+            after[k].setdefault(g[:-1], {})[g[-1]] = m
+    cut = lambda k, c: d[k].get(c, 1.0) * c
+    known = {}
+
+    def p(context, w):
+        k = len(context) + 1
+        if (context, w) in known:
+            return known[context, w]
+        seen = after[k].get(context, {})
+        total = sum(seen.values())
+        left = 1 - sum(cut(k, c) for c in seen.values()) / total if total else 1
         factor = 1.0 if left > 1e-12 else total / (total + 1)
         left = left if left > 1e-12 else 1 / (total + 1)
-        if w in after[h]:
-            return factor * cut(d2, after[h][w]) * after[h][w] / total
-        return left * p1(w) / (1 - sum(p1(x) for x in after[h]))
+        if not total:
+            out = p(context[1:], w)
+        elif w in seen:
+            out = factor * cut(k, seen[w]) / total
+        elif k == 1:
+            out = left
+        else:
+            out = left * p(context[1:], w) / (1 - sum(p(context[1:], x) for x in seen))
+        known[context, w] = out
+        return out
 
     for i, w, held in texts:
         r = got[i]
-        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held, len(w), sum(one[x] > 0 for x in w), n)
-        assert r["base_score"] == pytest.approx(sum(math.log10((one[x] + 1) / (n + v + 1)) for x in w))
-        assert r["score"] == pytest.approx(sum(math.log10(p2(h, x)) for h, x in zip(["<s>", *w], w)))
-    for h in list(after)[:20]:
-        assert sum(p2(h, w) for w in one) + p2(h, "\0") == pytest.approx(1)
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held, len(w), sum(grams[1][x,] > 0 for x in w), n)
+        assert r["base_score"] == pytest.approx(sum(math.log10((grams[1][x,] + 1) / (n + v + 1)) for x in w))
+        line = ["<s>", *w]
+        assert r["score"] == pytest.approx(sum(math.log10(p(tuple(line[max(0, j + 2 - order) : j + 1]), x)) for j, x in enumerate(w)))
+    for k in range(1, order + 1):
+        for context in list(after[k])[:20]:
+            assert sum(p(context, x[0]) for x in grams[1]) + p(context, "\0") == pytest.approx(1)
+        stored = katz.counts_of(spark, path, k).collect()
+        assert sorted(x["count"] for x in stored if x["count"]) == sorted(grams[k].values())
+        assert len({tuple(x)[:-1] for x in stored}) == len(stored)
 
 
 @pytest.mark.parametrize(("group", "broadcast"), [(512, 100_000), (4, 100_000), (3, 0)])
