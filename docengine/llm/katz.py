@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from . import textkit as T
 from .shared import block_count, held_out, new_folder, text_of
 
-KATZ_BLOCK_BYTES = 9 << 20  # a block holds n-grams beside words, so it is smaller than others
+KATZ_BLOCK_BYTES = 6 << 20  # a block holds n-grams beside words, so it is smaller than others
 ORDER = 3
 K = 5  # counts above it are not discounted
 FITTED = 16  # counts of counts that the line is fitted to
@@ -108,6 +108,22 @@ def _joint(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, the place of one of each, and which of them each entry is."""
+    perm = np.argsort(keys)
+    ranked = keys[perm]
+    new = np.ones(len(keys), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    which = np.empty(len(keys), np.int32)
+    which[perm] = np.cumsum(new, dtype=np.int32) - 1
+    return ranked[new], perm[new], which
+
+
+def _by_bucket(bucket: np.ndarray, ranges: int) -> np.ndarray:
+    """Order by bucket that leaves the entries of a bucket as they are; short integers are sorted by radix."""
+    return np.argsort(bucket.astype(np.uint16) if ranges <= 1 << 16 else bucket, kind="stable")
+
+
 def _rises(sizes: np.ndarray, values: np.ndarray, back: bool = False) -> np.ndarray:
     """Values that rise within each run of these sizes, as differences from the one before (back: from them)."""
     begin = (np.cumsum(sizes) - sizes)[sizes > 0]
@@ -126,6 +142,9 @@ def _stats(total: np.ndarray) -> list[int]:
 # Documents travel once, many to a row, compressed.
 
 
+_PACKED = pa.Codec("zstd", 3)
+
+
 def _dealt(batches):
     for batch in batches:
         blk = batch.column("blk").to_numpy()
@@ -136,7 +155,7 @@ def _dealt(batches):
         size, rows = np.diff(offsets), []
         for at in np.split(order, np.flatnonzero(np.diff(blk[order])) + 1) if len(order) else []:
             text = b"".join(data[offsets[i] : offsets[i + 1]].tobytes() for i in at)
-            rows.append((int(blk[at[0]]), number[at].tobytes(), (held[at] + 2 * null[at]).astype(np.uint8).tobytes(), T.pack_ints(size[at]), pa.compress(text, "zstd", asbytes=True)))
+            rows.append((int(blk[at[0]]), number[at].tobytes(), (held[at] + 2 * null[at]).astype(np.uint8).tobytes(), T.pack_ints(size[at]), _PACKED.compress(text, asbytes=True)))
         columns = list(zip(*rows)) or [[]] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k else pa.int32()) for k, c in enumerate(columns)], ["blk", "ids", "flags", "sizes", "texts"])
 
@@ -162,7 +181,8 @@ class _Block:
         inner = np.ones(len(tokens), bool)
         inner[self.offsets[1:] - 1] = False
         tokens[inner] = hashes
-        self.vocab, self.word = np.unique(tokens, return_inverse=True)
+        del hashes, inner
+        self.vocab, _, self.word = _distinct(tokens)
         self.train = np.repeat(~self.held, self.lengths)
         self.own = np.bincount(self.word[self.train], minlength=len(self.vocab))
 
@@ -170,96 +190,118 @@ class _Block:
         """Takes the answers to the words."""
         rows = _answers(found, 1)
         parts = [_arrays(x) for _, x in rows]
-        self.totals, self.number, alone = (np.concatenate([p[k] for p in parts]) for k in range(3))
-        self.alone = alone > 0
+        totals, number, alone = (np.concatenate([p[k] for p in parts]) for k in range(3))
+        self.totals_of_texts = totals[np.searchsorted(self.vocab, _END)]
+        order = np.argsort(number)  # from here on words are numbered in this order, which all blocks share
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        self.word, self.totals, self.number, self.alone = rank[self.word], totals[order], number[order], alone[order] > 0
 
     def level(self, order: int, lower: _Level | None) -> _Level:
-        v = len(self.vocab)
         if order == 2:
             at = np.arange(len(self.word))
             context = np.empty(len(self.word), np.int64)
-            context[1:] = self.word[:-1]
-            context[self.offsets[:-1]] = v  # the start
-            total = np.append(self.totals, self.totals[np.searchsorted(self.vocab, _END)])  # the start has one a text
-            return _Level(self, order, at, context, [np.append(self.number + 1, 0)], total, np.append(self.alone, False), self.totals)
+            context[1:] = self.word[:-1] + 1
+            context[self.offsets[:-1]] = 0  # the start, which has an occurrence in each text
+            first = lambda x, y: np.concatenate([[x], y])
+            return _Level(self, order, at, context, [first(0, self.number + 1)], first(self.totals_of_texts, self.totals), first(False, self.alone), self.totals)
         at = np.ones(len(self.word), bool)
         at[self.offsets[:-1]] = False
         at = np.flatnonzero(at)
         keys = [lower.keys[0][lower.context], self.number[lower.word] + 1]
-        return _Level(self, order, at, lower.which[at - 1], keys, lower.totals, lower.alone, lower.totals, lower.which)
+        return _Level(self, order, at, lower.which[at - 1].astype(np.int64), keys, lower.totals, lower.alone, lower.totals, lower.which)
 
 
 class _Level:
     """The n-grams of a block of one order: pairs of a context and a word, sorted; which of them each token is.
 
-    at: tokens that have a context of this order, context: of each of them, keys: one or two numbers of each context,
-    total: occurrences of each context in all, alone: whether no other block has it, below: totals of the order below by
-    word or by pair, and of tokens its index there.
+    at: tokens that have a context of this order, context: of each of them, keys: one or two numbers of each context, in
+    order, total: occurrences of each context in all, alone: whether no other block has it, below: totals of the order
+    below by word or by pair, and of tokens its index there.
     """
 
     def __init__(self, block: _Block, order: int, at, context, keys, total, alone, below, below_of=None):
         self.order, self.keys, self.total, self.local = order, keys, total, alone
         v = len(block.vocab)
-        pairs, first, which = np.unique(context * v + block.word[at], return_index=True, return_inverse=True)
-        self.context, self.word = pairs // v, pairs % v
-        self.which = np.full(len(block.word), -1, np.int64)
+        pairs, first, which = _distinct(context * v + block.word[at])
+        self.context, self.word = (pairs // v).astype(np.int32), (pairs % v).astype(np.int32)
+        del pairs
+        self.which = np.full(len(block.word), -1, np.int32)
         self.which[at] = which
-        self.counts = np.bincount(which[block.train[at]], minlength=len(pairs))
-        index = self.word if below_of is None else below_of[at[first]]
-        self.lower, self.lower_index = below[index], index
-        self.totals, self.alone = self.counts, np.ones(len(pairs), bool)
-
-    def slots(self, block: _Block, ranges: int):
-        """Of the contexts that are sent: bucket and context of each slot, in order; pairs in the order of the slots."""
-        used = np.unique(self.context)
-        used = used[~self.local[used]]
+        self.counts = np.bincount(which[block.train[at]], minlength=len(self.context))
+        self.lower_index = self.word if below_of is None else below_of[at[first]]
+        self.lower = below[self.lower_index]
+        self.totals, self.alone = self.counts, np.ones(len(self.context), bool)
+        self.need = np.zeros(len(self.local), bool)  # contexts with a pair that may be unseen: only these need a weight
+        self.need[self.context[self.counts == 0]] = True
+
+    def slots(self, ranges: int, number: np.ndarray):
+        """Bucket and context of each slot (a context in a bucket), and the pairs sent, in order; pairs of each slot."""
+        used = np.flatnonzero(np.bincount(self.context, minlength=len(self.local)).astype(bool) & ~self.local)
+        seed = T.mix(sum(k[used].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15 + 2 * i) for i, k in enumerate(self.keys)))
+        base = (seed % np.uint64(ranges)).astype(np.int64)
         split = np.minimum(np.maximum(1, -(-self.total[used] // _SPLIT)), ranges)
-        slot_context = np.repeat(used, split)
-        nth = np.arange(len(slot_context)) - np.repeat(np.cumsum(split) - split, split)
-        seed = T.mix(sum(k[slot_context].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15 + 2 * i) for i, k in enumerate(self.keys)))
-        bucket = ((seed % np.uint64(ranges)).astype(np.int64) + nth) % ranges
-        order = np.lexsort((nth, *(k[slot_context] for k in reversed(self.keys)), bucket))
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        begin = np.zeros(len(self.local), np.int64)
-        begin[used], parts = np.cumsum(split) - split, np.ones(len(self.local), np.int64)
-        parts[used] = split
+        nth = np.arange(int(split.sum())) - np.repeat(np.cumsum(split) - split, split)
+        bucket, own = (np.repeat(base, split) + nth) % ranges, np.repeat(used, split)
+        order = _by_bucket(bucket, ranges)
+        bucket, own = bucket[order], own[order]
+        of = np.zeros(len(self.local), np.int64)
+        parts = np.zeros(len(self.local), np.int64)
+        of[used], parts[used] = base, split
         sent = np.flatnonzero(~self.local[self.context])
-        number = block.number[self.word[sent]]
-        own = self.context[sent]
-        slot = place[begin[own] + (T.mix(number.astype(np.uint64)) % parts[own].astype(np.uint64)).astype(np.int64)]
-        by = np.lexsort((number, slot))
-        return bucket[order], slot_context[order], sent[by], np.bincount(slot, minlength=len(order))
+        context = self.context[sent]
+        home = of[context]
+        many = np.flatnonzero(parts[context] > 1)
+        if len(many):
+            nth = (T.mix(number[self.word[sent[many]]].astype(np.uint64)) % parts[context[many]].astype(np.uint64)).astype(np.int64)
+            home[many] = (home[many] + nth) % ranges
+        order = _by_bucket(home, ranges)
+        sent, home = sent[order], home[order]
+        n = len(self.local)
+        sizes = np.zeros(len(own), np.int64)
+        begin = np.flatnonzero(np.append(True, (np.diff(self.context[sent]) != 0) | (np.diff(home) != 0))) if len(sent) else np.zeros(0, np.int64)
+        sizes[np.searchsorted(bucket * n + own, home[begin] * n + self.context[sent[begin]])] = np.diff(np.append(begin, len(sent)))
+        return bucket, own, sent, sizes
 
     def messages(self, block: _Block, ranges: int):
         """(bucket, payload) of each bucket that has contexts of this block."""
-        bucket, own, pairs, sizes = self.slots(block, ranges)
+        bucket, own, pairs, sizes = self.slots(ranges, block.number)
         ends = np.concatenate([[0], np.cumsum(sizes)])
         cut = np.append(np.flatnonzero(np.append(True, np.diff(bucket) != 0)), len(bucket)) if len(bucket) else [0]
-        number = block.number[self.word[pairs]]
         for i, j in zip(cut[:-1], cut[1:]):
-            p = slice(ends[i], ends[j])
-            first = _rises(np.array([j - i]), self.keys[0][own[i:j]])
-            yield int(bucket[i]), _squeezed(sizes[i:j], _rises(sizes[i:j], number[p]), self.counts[pairs[p]], self.lower[pairs[p]], first, *(k[own[i:j]] for k in self.keys[1:]))
+            p = pairs[ends[i] : ends[j]]
+            first = np.diff(self.keys[0][own[i:j]], prepend=0)
+            yield int(bucket[i]), _squeezed(sizes[i:j], _rises(sizes[i:j], block.number[self.word[p]]), self.counts[p], self.lower[p], self.need[own[i:j]].astype(np.uint8), first, *(k[own[i:j]] for k in self.keys[1:]))
 
     def answered(self, block: _Block, found: pa.Table, ranges: int) -> None:
-        """Takes the answers: totals of pairs, and of each context its total and what its weight needs."""
+        """Takes the answers: totals of pairs; of each context its total and whether it has words of few occurrences.
+
+        Of contexts that need a weight also what that takes: words with count r, and with count r in the order below.
+        """
         n = len(self.local)
-        seen = self.counts > 0
-        few = lambda of: [np.bincount(self.context[seen & (of == r)], minlength=n) for r in _FEW]
-        large = seen & (self.lower > K)
-        per = np.stack([np.bincount(self.context, self.counts, n).astype(np.int64), *few(self.counts), *few(self.lower), np.bincount(self.context[large], self.lower[large], n).astype(np.int64)], -1)
-        per[~self.local] = 0
+        few = np.bincount(self.context[(self.counts > 0) & (self.counts <= K)], minlength=n) > 0
+        total = np.bincount(self.context, self.counts, n).astype(np.int64)
+        few[~self.local], total[~self.local] = False, 0
+        self.needy = np.flatnonzero(self.need)
+        index = np.full(n, -1, np.int32)
+        index[self.needy] = np.arange(len(self.needy), dtype=np.int32)
+        here = np.flatnonzero(self.need[self.context] & self.local[self.context] & (self.counts > 0))
+        weights = np.stack(_weights(index[self.context[here]], self.counts[here], self.lower[here], len(self.needy)), -1)
         rows = _answers(found, self.order)
         if rows:
-            parts = [_arrays(x) for _, x in rows]
-            own, pairs = self.slots(block, ranges)[1:3]
-            self.totals = self.counts.copy()
-            self.totals[pairs] = np.concatenate([p[0] for p in parts])
-            self.alone[pairs] = np.concatenate([p[1] for p in parts]) > 0
-            for k in range(per.shape[1]):
-                per[:, k] += np.bincount(own, np.concatenate([p[k + 2] for p in parts]), n).astype(np.int64)
-        self.per = per
+            own, pairs = self.slots(ranges, block.number)[1:3]
+            self.totals, i, j = self.counts.copy(), 0, 0
+            for _, payload in rows:
+                a = _arrays(payload)
+                p, c = pairs[i : i + len(a[0])], own[j : j + len(a[2])]
+                i, j = i + len(p), j + len(c)
+                self.totals[p], self.alone[p] = a[0], a[1] > 0
+                total[c] += a[2]
+                few[c] |= a[3] > 0
+                asked = index[c[self.need[c]]]
+                for k in range(weights.shape[1]):
+                    weights[asked, k] += a[4 + k]
+        self.context_total, self.factor, self.weights, self.index = total, np.where(few, 1.0, total / (total + 1.0)), weights, index
 
     def local_stats(self) -> list[int]:
         return _stats(self.counts[self.local[self.context]])
@@ -270,6 +312,12 @@ class _Level:
         return _squeezed(*(k[self.context[at]] for k in self.keys), block.number[self.word[at]], self.counts[at])
 
 
+def _weights(owner: np.ndarray, total: np.ndarray, lower: np.ndarray, n: int) -> list[np.ndarray]:
+    """Of each of n contexts: seen words by count 1..K, by count 1..K one order lower, and the sum of larger ones there."""
+    large = lower > K
+    return [np.bincount(owner[of == r], minlength=n) for of in (total, lower) for r in _FEW] + [np.bincount(owner[large], lower[large], n).astype(np.int64)]
+
+
 def _answers(found: pa.Table, order: int) -> list[tuple[int, bytes]]:
     rows = [(r["bucket"], r["payload"]) for r in found.select(["ord", "bucket", "payload"]).to_pylist() if r["ord"] == order]
     return sorted(rows, key=lambda r: r[0])
@@ -358,13 +406,12 @@ def _gathered(table: pa.Table, order: int):
     sent = table.filter(pc.is_valid(table["payload"]))
     asked = [_arrays(x) for x in sent["payload"].to_pylist()]
     for a in asked:
-        a[1], a[4] = _rises(a[0], a[1], True), np.cumsum(a[4])
+        a[1], a[5] = _rises(a[0], a[1], True), np.cumsum(a[5])
     every = lambda k: np.concatenate([a[k] for a in asked]) if asked else np.zeros(0, np.int64)
-    keys = [every(4)] if order == 2 else [every(4), every(5)]
-    joint = keys[0] if order == 2 else _joint(*keys)
-    contexts, first, slot = np.unique(joint, return_index=True, return_inverse=True)
+    keys = [every(5)] if order == 2 else [every(5), every(6)]
+    contexts, first, slot = _distinct(keys[0] if order == 2 else _joint(*keys))
     context, words = np.repeat(slot, every(0)), every(1)
-    pairs, sample, pair = np.unique(_joint(context, words), return_index=True, return_inverse=True)
+    pairs, sample, pair = _distinct(_joint(context.astype(np.int64), words))
     total = np.bincount(pair, every(2), len(pairs)).astype(np.int64)
     return sent, asked, slot, pair, total, context[sample], words[sample], every(3)[sample], [k[first] for k in keys]
 
@@ -373,14 +420,18 @@ def _count(order: int):
     def run(table: pa.Table) -> pa.Table:
         sent, asked, slot, pair, total, owner, _, lower, keys = _gathered(table, order)
         n, seen = len(keys[0]), total > 0
-        few = lambda of: [np.bincount(owner[seen & (of == r)], minlength=n) for r in _FEW]
-        large = seen & (lower > K)
-        per = [np.bincount(owner, total, n).astype(np.int64), *few(total), *few(lower), np.bincount(owner[large], lower[large], n).astype(np.int64)]
-        alone, rows, i, j = np.bincount(pair, minlength=len(total)) == 1, [], 0, 0
+        sums = np.bincount(owner, total, n).astype(np.int64)
+        few = (np.bincount(owner[seen & (total <= K)], minlength=n) > 0).astype(np.uint8)
+        need = np.zeros(n, bool)
+        need[slot[np.concatenate([a[4] for a in asked]) > 0] if asked else []] = True
+        seen &= need[owner]
+        weights = _weights(owner[seen], total[seen], lower[seen], n)
+        alone, rows, i, j = (np.bincount(pair, minlength=len(total)) == 1).astype(np.uint8), [], 0, 0
         for blk, a in zip(sent["blk"].to_pylist(), asked):
             mine, own = pair[i : i + len(a[1])], slot[j : j + len(a[0])]
             i, j = i + len(mine), j + len(own)
-            rows.append((blk, _squeezed(total[mine], alone[mine].astype(np.uint8), *(x[own] for x in per))))
+            wanted = own[a[4] > 0]
+            rows.append((blk, _squeezed(total[mine], alone[mine], sums[own], few[own], *(x[wanted] for x in weights))))
         stats = np.sum([_stats(total), *(x for x in table["stats"].to_pylist() if x)], 0).tolist()
         return _answered(rows, order, table["bucket"][0].as_py(), stats)
 
@@ -430,22 +481,23 @@ def _score(order: int, ranges: int):
         total, distinct, few = int(stats[0][0]), int(stats[0][1]), stats[0][2 : 2 + K]
         d = [None, *(discounts([0, *s[2:]]) for s in stats)]
         p = first_order(b.totals, total, d[1], few)  # of each word, then of each pair of the order reached
-        factor = freed(d[1], np.asarray(few, float), np.float64(total))[1] if total else 1.0
-        below, logs = np.array([total]), np.log10(p)[b.word]
-        factors, owner = np.array([factor]), np.zeros(len(p), np.int64)
+        below, factors = np.array([total]), np.array([freed(d[1], np.asarray(few, float), np.float64(total))[1] if total else 1.0])
+        owner, logs = np.zeros(len(p), np.int32), np.log10(p)[b.word]
         for level in levels:
-            per, at = level.per, level.lower_index
-            share, own_factor = freed(d[level.order], per[:, 1 : K + 1], per[:, 0])
+            at, c, needy, m = level.lower_index, level.context, level.needy, level.weights
             # What the order below gives to the words seen here; they have one lower context, that of any of them.
-            under = np.zeros(len(per), np.int64)
-            under[level.context] = owner[at]
-            lower = (per[:, K + 1 : 2 * K + 1] * np.arange(1, K + 1) * d[level.order - 1][1:]).sum(-1) + per[:, -1]
+            under = np.zeros(len(level.local), np.int32)
+            under[c] = owner[at]
+            under = under[needy]
+            lower = (m[:, K : 2 * K] * np.arange(1, K + 1) * d[level.order - 1][1:]).sum(-1) + m[:, -1]
             lower = factors[under] * lower / np.maximum(below[under], 1)
-            weight = share / np.maximum(1 - lower, 1e-300)
-            c = level.context
-            seen = own_factor[c] * discounted(d[level.order], level.totals) / np.maximum(per[c, 0], 1)
-            p = np.where(per[c, 0] == 0, p[at], np.where(level.totals > 0, seen, weight[c] * p[at]))
-            below, factors, owner = per[:, 0], own_factor, c
+            weight = freed(d[level.order], m[:, :K], level.context_total[needy])[0] / np.maximum(1 - lower, 1e-300)
+            total_of = level.context_total[c]
+            seen = level.factor[c] * discounted(d[level.order], level.totals) / np.maximum(total_of, 1)
+            back = np.flatnonzero((level.totals == 0) & (total_of > 0))
+            before, p = p, np.where(total_of == 0, p[at], seen)
+            p[back] = weight[level.index[c[back]]] * before[at[back]]
+            below, factors, owner = level.context_total, level.factor, c
             has = level.which >= 0
             logs[has] = np.log10(p)[level.which[has]]
         base = np.log10((b.totals + 1) / (total + distinct + 1))[b.word]
