@@ -23,9 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as T
-from .shared import block_count, held_out, new_folder, text_of
+from .shared import block_count, held_out, in_blocks, new_folder, opened, text_of
 
-KATZ_BLOCK_BYTES = 6 << 20  # a block holds n-grams beside words, so it is smaller than others
+KATZ_BLOCK_BYTES = 7 << 20  # a block holds n-grams beside words, so it is smaller than others
 ORDER = 3
 K = 5  # counts above it are not discounted
 FITTED = 16  # counts of counts that the line is fitted to
@@ -87,6 +87,11 @@ def _squeezed(*arrays: np.ndarray) -> bytes:
     return len(raw).to_bytes(4, "little") + pa.compress(raw, "zstd", asbytes=True)
 
 
+def _stored(keys: list[np.ndarray], words: np.ndarray, counts: np.ndarray) -> bytes:
+    """Counts of n-grams sorted by their keys, of which the first is kept as differences."""
+    return _squeezed(np.diff(keys[0], prepend=0), *keys[1:], words, counts)
+
+
 def _arrays(squeezed: bytes) -> list[np.ndarray]:
     raw = pa.decompress(squeezed[4:], int.from_bytes(squeezed[:4], "little"), "zstd", asbytes=True)
     out, i = [], 0
@@ -108,17 +113,6 @@ def _joint(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys in order, the place of one of each, and which of them each entry is."""
-    perm = np.argsort(keys)
-    ranked = keys[perm]
-    new = np.ones(len(keys), bool)
-    new[1:] = ranked[1:] != ranked[:-1]
-    which = np.empty(len(keys), np.int32)
-    which[perm] = np.cumsum(new, dtype=np.int32) - 1
-    return ranked[new], perm[new], which
-
-
 def _by_bucket(bucket: np.ndarray, ranges: int) -> np.ndarray:
     """Order by bucket that leaves the entries of a bucket as they are; short integers are sorted by radix."""
     return np.argsort(bucket.astype(np.uint16) if ranges <= 1 << 16 else bucket, kind="stable")
@@ -139,39 +133,13 @@ def _stats(total: np.ndarray) -> list[int]:
     return [int(total.sum()), int((total > 0).sum()), *np.bincount(np.minimum(total, FITTED + 1), minlength=FITTED + 2)[1 : FITTED + 1].tolist()]
 
 
-# Documents travel once, many to a row, compressed.
-
-
-_PACKED = pa.Codec("zstd", 3)
-
-
-def _dealt(batches):
-    for batch in batches:
-        blk = batch.column("blk").to_numpy()
-        data, offsets = T.flat(batch.column("text"))
-        ids, held = batch.column("doc_id"), batch.column("held_out").to_numpy(zero_copy_only=False)
-        null, number = ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy()
-        order = np.argsort(blk, kind="stable")
-        size, rows = np.diff(offsets), []
-        for at in np.split(order, np.flatnonzero(np.diff(blk[order])) + 1) if len(order) else []:
-            text = b"".join(data[offsets[i] : offsets[i + 1]].tobytes() for i in at)
-            rows.append((int(blk[at[0]]), number[at].tobytes(), (held[at] + 2 * null[at]).astype(np.uint8).tobytes(), T.pack_ints(size[at]), _PACKED.compress(text, asbytes=True)))
-        columns = list(zip(*rows)) or [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k else pa.int32()) for k, c in enumerate(columns)], ["blk", "ids", "flags", "sizes", "texts"])
-
-
 class _Block:
     """The tokens of a block: words are numbered in order of their hash, the end token is one of them."""
 
     def __init__(self, docs: pa.Table, order: int):
-        rows = docs.select(["ids", "flags", "sizes", "texts"]).to_pylist()
-        sizes = [T.unpack_ints(r["sizes"]) for r in rows]
-        data = np.frombuffer(b"".join(pa.decompress(r["texts"], int(s.sum()), "zstd", asbytes=True) for r, s in zip(rows, sizes)), np.uint8)
         self.blk, self.order = docs["blk"][0].as_py(), order
-        self.ids = np.concatenate([np.frombuffer(r["ids"], np.int64) for r in rows])
-        flags = np.concatenate([np.frombuffer(r["flags"], np.uint8) for r in rows])
-        self.held, self.null = flags % 2 > 0, flags > 1
-        starts, ends, first = T.spans(data, np.concatenate([[0], np.cumsum(np.concatenate(sizes))]))
+        self.ids, self.null, self.held, data, offsets = opened(docs)
+        starts, ends, first = T.spans(data, offsets)
         hashes = T.word_hashes(data, starts, ends, True)
         del data, starts, ends
         n = len(self.ids)
@@ -182,7 +150,7 @@ class _Block:
         inner[self.offsets[1:] - 1] = False
         tokens[inner] = hashes
         del hashes, inner
-        self.vocab, _, self.word = _distinct(tokens)
+        self.vocab, _, self.word = T.distinct(tokens)
         self.train = np.repeat(~self.held, self.lengths)
         self.own = np.bincount(self.word[self.train], minlength=len(self.vocab))
 
@@ -223,7 +191,7 @@ class _Level:
     def __init__(self, block: _Block, order: int, at, context, keys, total, alone, below, below_of=None):
         self.order, self.keys, self.total, self.local = order, keys, total, alone
         v = len(block.vocab)
-        pairs, first, which = _distinct(context * v + block.word[at])
+        pairs, first, which = T.distinct(context * v + block.word[at])
         self.context, self.word = (pairs // v).astype(np.int32), (pairs % v).astype(np.int32)
         del pairs
         self.which = np.full(len(block.word), -1, np.int32)
@@ -309,7 +277,7 @@ class _Level:
     def local_table(self, block: _Block) -> bytes:
         """The n-grams of contexts that lie in this block, as _tables() has those of a bucket."""
         at = np.flatnonzero(self.local[self.context] & (self.counts > 0))
-        return _squeezed(*(k[self.context[at]] for k in self.keys), block.number[self.word[at]], self.counts[at])
+        return _stored([k[self.context[at]] for k in self.keys], block.number[self.word[at]], self.counts[at])
 
 
 def _weights(owner: np.ndarray, total: np.ndarray, lower: np.ndarray, n: int) -> list[np.ndarray]:
@@ -409,9 +377,9 @@ def _gathered(table: pa.Table, order: int):
         a[1], a[5] = _rises(a[0], a[1], True), np.cumsum(a[5])
     every = lambda k: np.concatenate([a[k] for a in asked]) if asked else np.zeros(0, np.int64)
     keys = [every(5)] if order == 2 else [every(5), every(6)]
-    contexts, first, slot = _distinct(keys[0] if order == 2 else _joint(*keys))
+    contexts, first, slot = T.distinct(keys[0] if order == 2 else _joint(*keys))
     context, words = np.repeat(slot, every(0)), every(1)
-    pairs, sample, pair = _distinct(_joint(context.astype(np.int64), words))
+    pairs, sample, pair = T.distinct(_joint(context.astype(np.int64), words))
     total = np.bincount(pair, every(2), len(pairs)).astype(np.int64)
     return sent, asked, slot, pair, total, context[sample], words[sample], every(3)[sample], [k[first] for k in keys]
 
@@ -458,7 +426,7 @@ def _tables(order: int, ranges: int):
             return _written([(1, bucket, _squeezed(np.diff(words, prepend=np.uint64(0)), _numbers(total, bucket, ranges), total))])
         total, owner, words, _, keys = _gathered(table, order)[4:]
         seen = np.flatnonzero(total)
-        return _written([(order, bucket, _squeezed(*(k[owner[seen]] for k in keys), words[seen], total[seen]))])
+        return _written([(order, bucket, _stored([k[owner[seen]] for k in keys], words[seen], total[seen]))])
 
     return run
 
@@ -533,9 +501,7 @@ def katz_scores(docs: DataFrame, held=None, order: int = ORDER, block_bytes: int
     spark = docs.sparkSession
     held = held_out(F.col("doc_id"), 7, 2) if held is None else held
     blocks = block_count(docs, block_bytes)
-    rows = text_of(docs.withColumn("held_out", F.coalesce(held, F.lit(False))), "held_out")
-    rows = rows.withColumn("blk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
-    dealt = rows.mapInArrow(_dealt, "blk int, ids binary, flags binary, sizes binary, texts binary")
+    dealt = in_blocks(text_of(docs.withColumn("flag", F.coalesce(held, F.lit(False))), "flag"), blocks)
     asked = dealt.groupBy("blk").applyInArrow(_ask_words(blocks), _ASKED)
     # Answers are exchanged once an order and read whole by all that use them: a filter or a projection on one of these
     # would be moved below its exchange and make another of it.
@@ -567,8 +533,7 @@ def counts_of(spark, path: str, order: int) -> DataFrame:
         for batch in batches:
             for payload in batch.column("payload").to_pylist():
                 a = _arrays(payload)
-                if order == 1:
-                    a[0] = np.cumsum(a[0].view(np.uint64), dtype=np.uint64).view(np.int64)
+                a[0] = np.cumsum(a[0].view(np.uint64), dtype=np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in a], names)
 
     names = {1: ["hash", "number", "count"], 2: ["context", "word", "count"], 3: ["context", "before", "word", "count"]}[order]

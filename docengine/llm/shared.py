@@ -6,13 +6,18 @@ time. The number of blocks follows the input, the size of one doesn't, so memory
 
 from __future__ import annotations
 
+import math
 import re
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import textkit as T
+
 BLOCK_BYTES = 12 << 20
 
 
@@ -55,12 +60,52 @@ def stored_bytes(df: DataFrame) -> int:
 
 
 def block_count(df: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
-    return max(2, -(-stored_bytes(df) // block_bytes))
+    """Blocks of block_bytes, or of the square root of 64 times the input if that is more (from about 1 TB on).
+
+    Operators that exchange a message for each pair of a block and a range of hashes send the square of this number at
+    most, so with it messages stay in proportion to the input, of some 64 bytes at least, and a block grows as its root.
+    """
+    size = stored_bytes(df)
+    return max(2, -(-size // max(block_bytes, math.isqrt(64 * size))))
+
+
+_CODEC = pa.Codec("zstd", 3)
 
 
-def in_blocks(df: DataFrame, blocks: int, key: str = "doc_id") -> DataFrame:
-    """Adds blk, the block of each row."""
-    return df.withColumn("blk", F.pmod(F.xxhash64(F.col(key)), F.lit(blocks)).cast("int"))
+def _packed(batches):
+    for batch in batches:
+        blk = batch.column("blk").to_numpy()
+        data, offsets = T.flat(batch.column("text"))
+        ids = batch.column("doc_id")
+        null, number = ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy()
+        flag = batch.column("flag").to_numpy(zero_copy_only=False)
+        order = np.argsort(blk, kind="stable")
+        size, rows = np.diff(offsets), []
+        for at in np.split(order, np.flatnonzero(np.diff(blk[order])) + 1) if len(order) else []:
+            text = b"".join(data[offsets[i] : offsets[i + 1]].tobytes() for i in at)
+            rows.append((int(blk[at[0]]), number[at].tobytes(), (flag[at] + 2 * null[at]).astype(np.uint8).tobytes(), T.pack_ints(size[at]), _CODEC.compress(text, asbytes=True)))
+        columns = list(zip(*rows)) or [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k else pa.int32()) for k, c in enumerate(columns)], ["blk", "ids", "flags", "sizes", "texts"])
+
+
+def in_blocks(texts: DataFrame, blocks: int) -> DataFrame:
+    """Documents (doc_id, text and perhaps a boolean flag) by block, many to a row and compressed, as opened() reads them.
+
+    The block follows from id and text together, so that rows without id, or many of one id, are spread.
+    """
+    rows = texts if "flag" in texts.columns else texts.withColumn("flag", F.lit(False))
+    rows = rows.withColumn("blk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
+    return rows.mapInArrow(_packed, "blk int, ids binary, flags binary, sizes binary, texts binary")
+
+
+def opened(docs: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a block: ids (0 where null), which are null, flags, and the bytes and offsets of its texts."""
+    rows = docs.select(["ids", "flags", "sizes", "texts"]).to_pylist()
+    sizes = [T.unpack_ints(r["sizes"]) for r in rows]
+    data = np.frombuffer(b"".join(pa.decompress(r["texts"], int(s.sum()), "zstd", asbytes=True) for r, s in zip(rows, sizes)), np.uint8)
+    ids = np.concatenate([np.frombuffer(r["ids"], np.int64) for r in rows])
+    flags = np.concatenate([np.frombuffer(r["flags"], np.uint8) for r in rows])
+    return ids, flags > 1, flags % 2 > 0, data, np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
 
 
 def text_of(df: DataFrame, *more: str) -> DataFrame:

@@ -3,8 +3,9 @@
 Each block of documents hashes all its windows. A first exchange counts 48-bit keys of the windows by key range: a
 block sends each key once, as sorted differences of about four bytes, and gets back one bit for each, set if any other
 block has the key too. Only windows whose bit is set (or that repeat inside the block) go into the second exchange,
-with their full 64-bit hash and their smallest doc_id, and come back with the smallest doc_id of all. Windows that
-start in a smaller document cover words; covered words merge into maximal intervals, which are removed.
+with their full 64-bit hash, 32 bits of a hash of another family (of words and of windows) and their smallest doc_id, and
+come back with the smallest doc_id of all, so that windows count as equal by 96 bits. Windows that start in a smaller
+document cover words; covered words merge into maximal intervals, which are removed.
 
 A window that a third of all documents share costs one key a block in either exchange, so no key is hot.
 """
@@ -19,20 +20,55 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as T
-from .shared import BLOCK_BYTES, block_count, in_blocks, text_of
+from .shared import BLOCK_BYTES, block_count, in_blocks, opened, text_of
 
 WIDTH = 13
 _SHIFT = np.uint64(16)  # full hash to 48-bit key
 
 
-def _windows(table: pa.Table, width: int):
-    """Full hash and row of each window of a block, with what words() needs again."""
-    data, offsets = T.flat(table["text"])
-    starts, ends, first = T.spans(data, offsets)
-    hashes = T.word_hashes(data, starts, ends, False)
-    at, counts = T.window_starts(first, width)
-    full = T.rolling(hashes, width)[at] if len(at) else np.zeros(0, np.uint64)
-    return data, starts, ends, first, at, full, np.repeat(np.arange(len(counts)), counts)
+class _Windows:
+    """The words of a block and the full hash, first word and row of each window."""
+
+    def __init__(self, docs: pa.Table, width: int):
+        self.blk, self.width = docs["blk"][0].as_py(), width
+        ids, self.null, _, self.data, offsets = opened(docs)
+        self.ids = np.where(self.null, np.iinfo(np.int64).max, ids)  # a null doc_id stands after all others
+        self.starts, self.ends, self.first = T.spans(self.data, offsets)
+        hashes = T.word_hashes(self.data, self.starts, self.ends, False)
+        self.at, counts = T.window_starts(self.first, width)
+        self.full = T.rolling(hashes, width)[self.at] if len(self.at) else np.zeros(0, np.uint64)
+        self.row = np.repeat(np.arange(len(counts)), counts)
+
+    def covered(self, some: np.ndarray) -> np.ndarray:
+        """A flag for each word: whether one of these windows covers it."""
+        n = len(self.starts)
+        begins = np.bincount(self.at[some], minlength=n + self.width)
+        begins[self.width :] -= begins[:n].copy()
+        return np.cumsum(begins)[:n] > 0
+
+    def second(self, some: np.ndarray) -> np.ndarray:
+        """32 bits of the other family's hash of some windows; only the words that these cover are hashed."""
+        if not len(some):
+            return np.zeros(0, np.uint64)
+        words = np.flatnonzero(self.covered(some))
+        hashes = np.zeros(len(self.starts), np.uint64)
+        hashes[words] = T.word_hashes(self.data, self.starts[words], self.ends[words], False, 1)
+        return T.rolling(hashes, self.width, 1)[self.at[some]] >> np.uint64(32)
+
+
+def _both(full: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """One number for both hashes, to sort and search by."""
+    return T.mix(full * np.uint64(0x9E3779B97F4A7C15) + second)
+
+
+def _packed_ids(ids: np.ndarray) -> bytes:
+    low = ids.min() if len(ids) else np.int64(0)
+    return int(low).to_bytes(8, "little", signed=True) + T.pack_ints(ids.view(np.uint64) - low.view(np.uint64))
+
+
+def _unpacked_ids(raw: bytes) -> np.ndarray:
+    low = np.frombuffer(raw[:8], np.uint64)[0]
+    return (T.unpack_ints(raw[8:]).view(np.uint64) + low).view(np.int64)
 
 
 def _edges(ranges: int, bits: int) -> np.ndarray:
@@ -44,19 +80,15 @@ def _cut(values: np.ndarray, ranges: int, bits: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(values, _edges(ranges, bits)), [len(values)]]).astype(np.int64)
 
 
-def _ids(docs: pa.Table) -> np.ndarray:
-    """A null doc_id stands after all others."""
-    return docs["doc_id"].fill_null(np.iinfo(np.int64).max).to_numpy()
-
-
 def _keys(ranges: int, width: int):
     def run(table: pa.Table) -> pa.Table:
-        keys = np.unique(_windows(table, width)[5] >> _SHIFT)
+        w = _Windows(table, width)
+        keys = np.unique(w.full >> _SHIFT)
         cut = _cut(keys, ranges, 48)
         full = np.flatnonzero(np.diff(cut))
         return pa.table({
             "rng": pa.array(full, pa.int32()),
-            "blk": pa.array(np.full(len(full), table["blk"][0].as_py()), pa.int32()),
+            "blk": pa.array(np.full(len(full), w.blk), pa.int32()),
             "keys": pa.array([T.pack(keys[cut[k] : cut[k + 1]]) for k in full], pa.binary()),
         })
 
@@ -88,77 +120,83 @@ def _suspects(ranges: int, width: int):
     """Of a block and the bits for it: the windows that occur elsewhere or twice here, with their smallest doc_id."""
 
     def run(docs: pa.Table, bits: pa.Table) -> pa.Table:
-        full, row = _windows(docs, width)[5:]
-        ids = _ids(docs)
-        keys, at, counts = np.unique(full >> _SHIFT, return_inverse=True, return_counts=True)
-        flagged = counts > 1
+        names = ("rng", "blk", "hashes", "second", "low", "top")
+        types = (pa.int32(), pa.int32(), *[pa.binary()] * 4)
+        if not len(docs):
+            return pa.table({c: pa.array([], t) for c, t in zip(names, types)})
+        w = _Windows(docs, width)
+        keys, _, at = T.distinct(w.full >> _SHIFT)
+        flagged = np.bincount(at, minlength=len(keys)) > 1
         cut = _cut(keys, ranges, 48)
         for rng, raw in zip(bits["rng"].to_pylist(), bits["bits"].to_pylist()):
             n = cut[rng + 1] - cut[rng]
             flagged[cut[rng] : cut[rng + 1]] |= np.unpackbits(np.frombuffer(raw, np.uint8), count=n).astype(bool)
-        take = flagged[at] if len(at) else np.zeros(0, bool)
-        full, owner = full[take], ids[row[take]]
-        order = np.lexsort((owner, full))
-        full, owner = full[order], owner[order]
+        take = np.flatnonzero(flagged[at])
+        full, second, owner = w.full[take], w.second(take), w.ids[w.row[take]]
+        order = np.lexsort((owner, second, full))
+        full, second, owner = full[order], second[order], owner[order]
         new = np.ones(len(full), bool)
-        new[1:] = full[1:] != full[:-1]
+        new[1:] = (full[1:] != full[:-1]) | (second[1:] != second[:-1])
         last = np.append(new[1:], True)[: len(full)]
         top = owner[last]  # the largest doc_id here: only if it is above the smallest of all has this block to act
-        full, owner = full[new], owner[new]
+        full, second, owner = full[new], second[new], owner[new]
         cut = _cut(full, ranges, 64)
-        some = np.flatnonzero(np.diff(cut))
-        blk = docs["blk"][0].as_py() if len(docs) else -1
-        return pa.table({
-            "rng": pa.array(some, pa.int32()),
-            "blk": pa.array(np.full(len(some), blk), pa.int32()),
-            "hashes": pa.array([full[cut[k] : cut[k + 1]].tobytes() for k in some], pa.binary()),
-            "low": pa.array([owner[cut[k] : cut[k + 1]].tobytes() for k in some], pa.binary()),
-            "top": pa.array([top[cut[k] : cut[k + 1]].tobytes() for k in some], pa.binary()),
-        })
+        rows = []
+        for k in np.flatnonzero(np.diff(cut)):
+            p = slice(cut[k], cut[k + 1])
+            rows.append((int(k), w.blk, full[p].tobytes(), second[p].astype(np.uint32).tobytes(), _packed_ids(owner[p]), T.pack_ints(top[p].view(np.uint64) - owner[p].view(np.uint64))))
+        return pa.table({c: pa.array(x, t) for c, x, t in zip(names, list(zip(*rows)) or [[]] * 6, types)})
 
     return run
 
 
 def _lowest(table: pa.Table) -> pa.Table:
-    """Of one range: for each block the hashes whose smallest doc_id of all lies below one of its own."""
+    """Of one range: for each block the windows whose smallest doc_id of all lies below one of its own."""
     full = [np.frombuffer(x.as_py(), np.uint64) for x in table["hashes"]]
-    low = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table["low"]])
-    top = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table["top"]])
+    second = [np.frombuffer(x.as_py(), np.uint32) for x in table["second"]]
+    low = np.concatenate([_unpacked_ids(x.as_py()) for x in table["low"]])
+    top = (low.view(np.uint64) + np.concatenate([T.unpack_ints(x.as_py()) for x in table["top"]]).view(np.uint64)).view(np.int64)
     ends = np.cumsum([len(x) for x in full])
-    together = np.concatenate(full)
-    order = np.argsort(together, kind="stable")
-    ranked = together[order]
-    begins = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
-    least = np.empty(len(ranked), np.int64)
-    least[order] = np.repeat(np.minimum.reduceat(low[order], begins), np.diff(np.append(begins, len(ranked))))
+    a, b = np.concatenate(full), np.concatenate(second)
+    order = np.lexsort((b, a))
+    begins = np.flatnonzero(np.append(True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])))
+    least = np.empty(len(a), np.int64)
+    least[order] = np.repeat(np.minimum.reduceat(low[order], begins), np.diff(np.append(begins, len(a))))
     act = least < top
-    out = [(act[e - len(x) : e], x, least[e - len(x) : e]) for e, x in zip(ends, full)]
+    out = [(x[m], y[m], least[e - len(x) : e][m]) for e, x, y in zip(ends, full, second) for m in (act[e - len(x) : e],)]
     return pa.table({
         "blk": table["blk"],
-        "hashes": pa.array([x[a].tobytes() for a, x, _ in out], pa.binary()),
-        "low": pa.array([v[a].tobytes() for a, _, v in out], pa.binary()),
+        "hashes": pa.array([x.tobytes() for x, _, _ in out], pa.binary()),
+        "second": pa.array([y.tobytes() for _, y, _ in out], pa.binary()),
+        "low": pa.array([_packed_ids(v) for _, _, v in out], pa.binary()),
     })
 
 
-def removed_words(full, low_hashes, low_ids, window_ids, at, words: int, width: int) -> np.ndarray:
-    """A flag for each word of a block: covered by a window that also starts in a smaller document."""
-    cover = np.zeros(words + 1, np.int64)
-    if len(low_hashes):
-        place = np.minimum(np.searchsorted(low_hashes, full), len(low_hashes) - 1)
-        hit = at[(low_hashes[place] == full) & (low_ids[place] < window_ids)]
-        np.add.at(cover, hit, 1)
-        np.add.at(cover, hit + width, -1)
-    return np.cumsum(cover[:-1]) > 0
+def removed_words(w: _Windows, full: np.ndarray, second: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """A flag for each word of a block: covered by a window that also starts in a smaller document.
+
+    full, second, low: hashes and smallest doc_id of windows that other documents have.
+    """
+    if not len(full):
+        return np.zeros(len(w.starts), bool)
+    known = np.unique(full)
+    some = np.flatnonzero(known[np.minimum(np.searchsorted(known, w.full), len(known) - 1)] == w.full)
+    own, other = w.second(some), _both(full, second)
+    order = np.argsort(other)
+    full, second, low = full[order], second[order], low[order]
+    place = np.minimum(np.searchsorted(other[order], _both(w.full[some], own)), len(full) - 1)
+    hit = (full[place] == w.full[some]) & (second[place] == own) & (low[place] < w.ids[w.row[some]])
+    return w.covered(some[hit])
 
 
 def _kept(width: int, with_text: bool):
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
-        data, starts, ends, first, at, full, row = _windows(docs, width)
-        ids = _ids(docs)
-        hashes = np.concatenate([np.frombuffer(x, np.uint64) for x in found["hashes"].to_pylist()] or [np.zeros(0, np.uint64)])
-        low = np.concatenate([np.frombuffer(x, np.int64) for x in found["low"].to_pylist()] or [np.zeros(0, np.int64)])
-        order = np.argsort(hashes)
-        gone = removed_words(full, hashes[order], low[order], ids[row], at, len(starts), width)
+        w = _Windows(docs, width)
+        every = lambda name, of, none: np.concatenate([of(x) for x in found[name].to_pylist()] or [none])
+        none = np.zeros(0, np.uint64)
+        full, second = every("hashes", lambda x: np.frombuffer(x, np.uint64), none), every("second", lambda x: np.frombuffer(x, np.uint32), none).astype(np.uint64)
+        gone = removed_words(w, full, second, every("low", _unpacked_ids, none.view(np.int64)))
+        data, starts, ends, first, ids = w.data, w.starts, w.ends, w.first, w.ids
         total = np.concatenate([[0], np.cumsum(gone)])
         raw, shas, texts = data.tobytes(), [], []
         for i in range(len(ids)):
@@ -172,7 +210,7 @@ def _kept(width: int, with_text: bool):
             if with_text:
                 texts.append(kept.decode())
         out = {
-            "doc_id": docs["doc_id"],
+            "doc_id": pa.array(ids, mask=w.null),
             "n_words": pa.array(np.diff(first), pa.int64()),
             "n_removed": pa.array(total[first[1:]] - total[first[:-1]], pa.int64()),
             "kept_sha256": pa.array(shas, pa.string()),
@@ -187,7 +225,8 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, with_text: bool = False
 
     Returns a row per input row: doc_id, n_words, n_removed, kept_sha256 (and kept_text on request). Null and empty
     texts have no words and the digest of nothing. Texts with fewer than `width` words stay whole. Rows with equal
-    doc_id don't remove each other's words; a null doc_id counts as the largest. An empty table gives an empty result; further columns are not looked at.
+    doc_id don't remove each other's words; a null doc_id counts as the largest. An empty table gives an empty result; further
+    columns are not looked at; a very long text makes a block of its own.
     """
     blocks = block_count(docs, block_bytes)
     dealt = in_blocks(text_of(docs), blocks)
@@ -197,8 +236,8 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, with_text: bool = False
     )
     lows = (
         dealt.groupBy("blk").cogroup(bits.groupBy("blk"))
-        .applyInArrow(_suspects(blocks, width), "rng int, blk int, hashes binary, low binary, top binary")
-        .groupBy("rng").applyInArrow(_lowest, "blk int, hashes binary, low binary")
+        .applyInArrow(_suspects(blocks, width), "rng int, blk int, hashes binary, second binary, low binary, top binary")
+        .groupBy("rng").applyInArrow(_lowest, "blk int, hashes binary, second binary, low binary")
     )
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     return dealt.groupBy("blk").cogroup(lows.groupBy("blk")).applyInArrow(_kept(width, with_text), schema)

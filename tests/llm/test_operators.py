@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from docengine.llm import decontaminate, fingerprints, katz, minhash, packing, pii, substring_dedup, textkit, toxicity, url_filter, warc
+from docengine.llm import decontaminate, fingerprints, katz, minhash, packing, pii, shared, substring_dedup, textkit, toxicity, url_filter, warc
 from docengine.llm.components import components
 
 WORDS = "der die the of Pool diské x1 node-a über quota".split()
@@ -50,6 +50,46 @@ def test_words_and_windows():
         assert textkit.unpack_ints(textkit.pack_ints(np.array(values))).tolist() == values
 
 
+def thue_morse(n):
+    """Two words of 2 ** n letters that polynomial hashes modulo a power of two take for one."""
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_that_polynomials_confuse(spark):
+    for n in (6, 9, 12):
+        a, b = thue_morse(n)
+        tail = [f"w{k}" for k in range(12)]
+        docs = spark.createDataFrame([(1, " ".join([a, *tail])), (2, " ".join([b, *tail])), (3, " ".join([a, *tail]))], "doc_id long, text string")
+        assert {r["doc_id"]: r["n_removed"] for r in substring_dedup.substring_dedup(docs).collect()} == {1: 0, 2: 0, 3: 13}
+    docs = spark.createDataFrame([(1, f"{a} x y z q"), (2, f"{b} x y z q"), (3, a), (4, b)], "doc_id long, text string")
+    assert all(r["kept"] for r in minhash.near_duplicates(docs).collect())
+
+
+def test_colliding_hashes(monkeypatch):
+    """Where the first hash of two words is the same, the second tells windows and sets apart."""
+    plain = textkit.word_hashes
+
+    def collide(data, starts, ends, lower, family=0):
+        out = plain(data, starts, ends, lower, family)
+        if family == 0:
+            out[ends - starts == 1] = 7
+        return out
+
+    monkeypatch.setattr(textkit, "word_hashes", collide)
+    tail = " ".join(f"w{k}" for k in range(12))
+    texts = [f"a {tail}", f"b {tail}", f"a {tail}"]
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3], "text": texts, "flag": [False] * 3, "blk": pa.array([0] * 3, pa.int32())})
+    docs = pa.Table.from_batches(shared._packed([batch]))
+    none = pa.table({"rng": pa.array([], pa.int32()), "bits": pa.array([], pa.binary())})
+    found = pa.concat_tables([substring_dedup._lowest(x) for x in [substring_dedup._suspects(1, 13)(docs, none)]])
+    assert [r["n_removed"] for r in substring_dedup._kept(13, False)(docs, found).to_pylist()] == [0, 0, 13]
+    digests = minhash.shingle_sets(pa.array(texts), digests=True)[2]
+    assert digests[0][0] == digests[0][1] and digests[1][0] != digests[1][1] and digests[1][0] == digests[1][2]
+
+
 def test_substring_dedup(spark):
     rows = corpus()
     got = Counter(tuple(r) for r in substring_dedup.substring_dedup(frame(spark, rows), block_bytes=300).collect())
