@@ -225,12 +225,14 @@ def compared(docs: DataFrame, block_bytes: int = _BLOCK_BYTES) -> DataFrame:
     ids = texts.select("doc_id")
     bounds = ids.approxQuantile("doc_id", [k / blocks for k in range(1, blocks)], 0.2 / blocks) if stored_bytes(docs) else []
     bounds = sorted({int(x) for x in bounds})
-    own = F.lit(0)
-    if bounds:  # the number of bounds below the id, by one lookup among the sorted bounds
-        edges = F.array(*[F.lit(x).cast("long") for x in bounds])
-        own = F.aggregate(edges, F.lit(0), lambda n, e: n + (e < F.col("doc_id")).cast("int"))
-    placed = texts.withColumn("blk", own)
-    tops = ids.withColumn("blk", own).groupBy("blk").agg(F.max("doc_id").alias("doc_id")).orderBy("blk").collect()  # a row a block
+    edges = docs.sparkSession.sparkContext.broadcast(np.array(bounds, np.int64))  # eight bytes a block
+
+    def place(batches):  # the number of bounds below the id, by binary search
+        for batch in batches:
+            yield batch.append_column("blk", pa.array(np.searchsorted(edges.value, batch.column("doc_id").to_numpy()), pa.int32()))
+
+    placed = texts.mapInArrow(place, "doc_id long, text string, unnamed boolean, blk int")
+    tops = ids.mapInArrow(place, "doc_id long, blk int").groupBy("blk").agg(F.max("doc_id").alias("doc_id")).orderBy("blk").collect()  # a row a block
     sends = [(t["doc_id"], tops[(k + 1) % len(tops)]["blk"]) for k, t in enumerate(tops)]
     spark = docs.sparkSession
     guests = spark.createDataFrame(sends, "doc_id long, to int")

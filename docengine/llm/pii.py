@@ -24,6 +24,7 @@ from .shared import text_of
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE = 300  # documents whose lines serve as surroundings in training, those with the smallest hash of their id
+SAMPLE_CHARS = 1 << 15  # of each of them that are looked at in training; all of every text is searched
 WINDOW, OVERLAP = 160, 32
 _H, _E, _L = 8, 7, len(KINDS) + 1
 _CHUNK = 2048  # windows run at a time
@@ -67,7 +68,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     out = [("email", a, b) for a, b in emails(text)] if "@" in text else []
     if _DIGIT.search(text):
         if "." in text:
-            out += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m[0].split("."))]
+            out += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(x) <= 3 and int(x or 0) <= 255 for x in (y.lstrip("0") for y in m[0].split(".")))]
         for m in _CARD.finditer(text):
             digits = re.sub("[^0-9]", "", m[0])
             if 13 <= len(digits) <= 19 and luhn(digits):
@@ -373,11 +374,11 @@ def fit(lines: list[str], windows: int = 10_000, epochs: int = 6, batch: int = 1
     return net
 
 
-def trained(docs: DataFrame, sample: int = SAMPLE) -> Network:
-    """A network trained on lines of the `sample` documents whose ids have the smallest hashes."""
+def trained(docs: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Network:
+    """A network trained on lines of the `sample` documents whose ids have the smallest hashes, `chars` of each at most."""
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).dropna().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).distinct()
     picked = docs.sparkSession.createDataFrame([tuple(r) for r in ids.collect()], "doc_id long")
-    rows = text_of(docs).join(F.broadcast(picked), "doc_id").collect()
+    rows = text_of(docs).join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min(F.substring("text", 1, chars)).alias("text")).collect()
     lines = [x for r in sorted((r["doc_id"], r["text"]) for r in rows) for x in r[1].split("\n") if x.strip() and not base_spans(x)]
     return fit(lines)
 

@@ -21,6 +21,7 @@ from .shared import held_out, text_of
 
 WINDOW = 48
 SAMPLE = 2000  # labelled rows of each class at most, those with the smallest hash of their id
+SAMPLE_CHARS = 1 << 16  # of each of them that are learnt from; all of every text is scored
 SAMPLE_WINDOWS = 14_000  # of either class at most in training
 _WORD_BUCKETS, _GRAM_BUCKETS = 1 << 13, 1 << 15
 _D, _H = 8, 8
@@ -208,8 +209,11 @@ def _adam(params: dict, grads: dict, state: dict, rate: float) -> None:
             params[k] -= (rate * (m / (1 - 0.9 ** state["t"])) / (np.sqrt(v / (1 - 0.999 ** state["t"])) + 1e-8)).astype(np.float32)
 
 
-def fit(texts: list[str], labels: list[int], share: float = 0.5, seed: int = 1) -> Model:
-    """A model of these texts; one text in five is kept to map scores to probabilities. share: of positives in all."""
+def fit(texts: list[str], labels: list[int], share: float = 0.5, seed: int = 1, windows: int = SAMPLE_WINDOWS) -> Model:
+    """A model of these texts; one text in five is kept to map scores to probabilities. share: of positives in all.
+
+    At most `windows` windows of either class are learnt from.
+    """
     model, r = Model(seed), np.random.default_rng(seed)
     labels = np.array(labels, np.int64)
     if len(labels) == 0 or labels.min() == labels.max():  # nothing to tell apart
@@ -220,8 +224,8 @@ def fit(texts: list[str], labels: list[int], share: float = 0.5, seed: int = 1)
     label = labels[~apart]
     row, begin, length = words.windows()
     of = [np.flatnonzero((label[row] == k) & (length > 0)) for k in (0, 1)]
-    own = r.permutation(of[1])[:SAMPLE_WINDOWS]
-    against = r.permutation(of[0])[:SAMPLE_WINDOWS]
+    own = r.permutation(of[1])[:windows]
+    against = r.permutation(of[0])[:windows]
     target, state, batch = label[row].astype(np.float32), {}, 256
     epochs = int(np.clip(np.ceil(_UPDATES * batch / max(1, len(own) + len(against))), 5, 40))
 
@@ -241,9 +245,9 @@ def fit(texts: list[str], labels: list[int], share: float = 0.5, seed: int = 1)
             top = np.full(len(label), -np.inf)
             np.maximum.at(top, row[own], logit)
             target[own] = (logit >= np.minimum(top[row[own]] - 1.0, 0.0)) | (logit >= top[row[own]])
-            if len(of[0]) > SAMPLE_WINDOWS:  # negatives that score highest, and others
-                hard = of[0][np.argsort(-logits(of[0]), kind="stable")[: SAMPLE_WINDOWS // 4]]
-                against = np.concatenate([hard, r.permutation(of[0])[: SAMPLE_WINDOWS * 3 // 4]])
+            if len(of[0]) > windows:  # negatives that score highest, and others
+                hard = of[0][np.argsort(-logits(of[0]), kind="stable")[: windows // 4]]
+                against = np.concatenate([hard, r.permutation(of[0])[: windows * 3 // 4]])
     held = np.flatnonzero(apart)
     x = model.logits(pa.array([texts[k] for k in held], pa.string()))
     y = labels[held]
@@ -260,8 +264,11 @@ def fit(texts: list[str], labels: list[int], share: float = 0.5, seed: int = 1)
     return model
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[tuple[int, str, int]], float]:
-    """(doc_id, text, label) of at most `sample` labelled rows a class whose crc32(doc_id as text) mod 5 isn't 0.
+def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> tuple[list[tuple[int, str, int]], float]:
+    """(doc_id, text, label) of at most `sample` labelled ids a class whose crc32(doc_id as text) mod 5 isn't 0.
+
+    Of each text at most `chars` characters are collected, so that the driver's share is bounded; of rows with one id the
+    least text counts.
 
     Also the share of positives among all such rows.
     """
@@ -270,7 +277,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> t
     chosen = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1)]
     picked = chosen[0].unionByName(chosen[1]).collect()  # two numbers for at most 2 * sample rows
     ids = docs.sparkSession.createDataFrame([tuple(x) for x in picked], "doc_id long, toxic int")
-    rows = text_of(docs).join(F.broadcast(ids), "doc_id").collect()
+    rows = text_of(docs).join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.substring("text", 1, chars)).alias("text")).collect()
     share = known.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0]
     return sorted((x["doc_id"], x["text"], x["toxic"]) for x in rows), max(share or 0.0, _LEAST_SHARE)
 

@@ -1,13 +1,16 @@
 """Operator 7, WARC: revisit resolution on write.
 
-The headers (digest, size, id) of the records are shuffled by payload digest and each digest's first record found with
-partial aggregation; records whose payload is already there become revisits that refer to it. Archives are written by
+The headers (digest, id) of the records are shuffled by payload digest and each digest's first record found with partial
+aggregation; records whose payload is already there become revisits that refer to it. While the digests that repeat are
+few, they are broadcast and payloads don't move; beyond that records meet them in a join whose large partitions adaptive
+execution splits. Archives are written by
 Spark's own text writer (a record is text, the two CRLF that end it are the line separator), so a lost executor's files
 are written again by the commit protocol. They are read back by Content-Length, not by searching for separators.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 
@@ -15,11 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import new_folder
+from .shared import new_folder, saved
 
 LEAST = 100  # bytes from which on an equal payload becomes a revisit
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"  # fixed by the WARC 1.1 standard
-_RECORDS = 2000  # in a file
+_RECORDS = 1000  # in a file
+_BROADCAST_ROWS = 100_000  # digests of 32 bytes with a page_id
+_BYTES = 1 << 23  # of payload read at a time
+_STEP = 1 << 18  # bytes inflated at a time
 _CRLF = "\r\n"
 
 
@@ -31,6 +37,8 @@ def resolved(pages: DataFrame, least: int = LEAST) -> DataFrame:
         rows.where(F.col("payload_bytes") >= least).groupBy("digest")
         .agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
     )
+    firsts = saved(firsts, "firsts")
+    firsts = F.broadcast(firsts) if firsts.count() <= _BROADCAST_ROWS else firsts
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return rows.join(firsts, "digest", "left").select(
         "page_id", "url", "html", "payload_bytes", F.lower(F.hex("digest")).alias("payload_digest"),
@@ -61,51 +69,88 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST) -> None:
     rows.write.option("lineSep", _CRLF * 2).option("maxRecordsPerFile", _RECORDS).option("compression", "gzip").text(path)
 
 
-def parse(raw: bytes):
-    """(headers, block) of each record of one archive file, plain or gzip (of one member or many)."""
-    if raw[:2] == b"\x1f\x8b":
-        parts = []
-        while raw:
+def _inflated(raw: bytes):
+    """The bytes of a plain or gzip file (of one member or many), a part at a time."""
+    if raw[:2] != b"\x1f\x8b":
+        yield raw
+        return
+    d, at = zlib.decompressobj(31), 0
+    while at < len(raw):
+        part = d.decompress(raw[at : at + _STEP], _STEP)
+        at += _STEP
+        while part:
+            yield part
+            part = d.decompress(d.unconsumed_tail, _STEP) if d.unconsumed_tail and not d.eof else b""
+        if d.eof:  # the next member begins where this one ended
+            at = min(at, len(raw)) - len(d.unused_data)
             d = zlib.decompressobj(31)
-            parts.append(d.decompress(raw))
-            raw = d.unused_data
-        raw = b"".join(parts)
-    i = 0
-    while i < len(raw):
-        end = raw.index(b"\r\n\r\n", i)
-        lines = raw[i:end].decode().split("\r\n")
+    yield d.flush()
+
+
+def parse(raw: bytes):
+    """(headers, block) of each record of one archive file; no more than a record and a part are held inflated."""
+    parts, have = _inflated(raw), bytearray()
+
+    def fill(n: int) -> bool:
+        while len(have) < n:
+            part = next(parts, None)
+            if part is None:
+                return False
+            have.extend(part)
+        return True
+
+    while fill(1):
+        end = have.find(b"\r\n\r\n")
+        while end < 0:
+            if not fill(len(have) + 1):
+                raise ValueError("an archive ends within a header")
+            end = have.find(b"\r\n\r\n")
+        lines = have[:end].decode().split("\r\n")
         if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {i}: {lines[0][:40]!r}")
+            raise ValueError(f"no WARC record: {lines[0][:40]!r}")
         headers = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
         n = int(headers["content-length"])
-        yield headers, raw[end + 4 : end + 4 + n]
-        i = end + 4 + n + 4
+        if not fill(end + 4 + n):
+            raise ValueError("an archive ends within a record")
+        yield headers, bytes(have[end + 4 : end + 4 + n])
+        fill(end + 8 + n)
+        del have[: end + 8 + n]
+
+
+_COLUMNS = (("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("html", pa.string()))
+
+
+def _records(raw: bytes):
+    for headers, block in parse(raw):
+        named = re.search(r"urn:page:(-?\d+)", headers["warc-record-id"])
+        page = int(named[1]) if named else None
+        http, _, payload = block.partition(b"\r\n\r\n")
+        digest = headers["warc-payload-digest"].removeprefix("sha256:")
+        if headers["warc-type"] == "revisit":
+            size = int(re.search(rb"(?i)content-length: *(\d+)", http)[1])
+            refers = int(re.search(r"urn:page:(-?\d+)", headers["warc-refers-to"])[1])
+        else:
+            size, refers = len(payload), None
+            if hashlib.sha256(payload).hexdigest() != digest:
+                raise ValueError(f"page {page}: the payload doesn't match its digest")
+        yield page, size, digest, headers["warc-type"], refers, headers["warc-target-uri"], None if refers is not None else payload.decode()
 
 
 def _read(batches):
-    import hashlib
+    def batch_of(rows: list[tuple]):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), _COLUMNS)], [n for n, _ in _COLUMNS])
 
     for batch in batches:
         for raw in batch.column("content"):
-            out = []
-            for headers, block in parse(raw.as_py()):
-                named = re.search(r"urn:page:(-?\d+)", headers["warc-record-id"])
-                page = int(named[1]) if named else None
-                http, _, payload = block.partition(b"\r\n\r\n")
-                digest = headers["warc-payload-digest"].removeprefix("sha256:")
-                if headers["warc-type"] == "revisit":
-                    size = int(re.search(rb"(?i)content-length: *(\d+)", http)[1])
-                    refers = int(re.search(r"urn:page:(-?\d+)", headers["warc-refers-to"])[1])
-                else:
-                    size, refers = len(payload), None
-                    if hashlib.sha256(payload).hexdigest() != digest:
-                        raise ValueError(f"page {page}: the payload doesn't match its digest")
-                out.append((page, size, digest, headers["warc-type"], refers, headers["warc-target-uri"], None if refers is not None else payload.decode()))
-            cols = list(zip(*out)) or [[]] * 7
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()))],
-                ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "html"],
-            )
+            rows, size = [], 0
+            for row in _records(raw.as_py()):
+                rows.append(row)
+                size += row[1]
+                if size > _BYTES:
+                    yield batch_of(rows)
+                    rows, size = [], 0
+            if rows:
+                yield batch_of(rows)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:

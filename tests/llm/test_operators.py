@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 import math
 import random
@@ -271,6 +272,15 @@ def test_warc(spark, tmp_path):
         assert (out[i]["payload_bytes"], out[i]["payload_digest"], out[i]["html"]) == (len(raw), hashlib.sha256(raw).hexdigest(), html or "")
 
 
+def test_archives_are_inflated_in_parts(monkeypatch):
+    record = lambda k: (f"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: {k * 97}\r\n\r\n").encode() + bytes([k]) * (k * 97) + b"\r\n\r\n"
+    records = [record(k) for k in range(1, 120)]
+    for step in (50, 1000, 1 << 18):
+        monkeypatch.setattr(warc, "_STEP", step)
+        for raw in (b"".join(records), gzip.compress(b"".join(records)), b"".join(map(gzip.compress, records))):
+            assert [b for _, b in warc.parse(raw)] == [bytes([k]) * (k * 97) for k in range(1, 120)]
+
+
 def test_fingerprints(spark):
     rows = corpus(4)
     got = {}
@@ -334,6 +344,14 @@ def test_best_fit_takes_the_tightest():
     assert where.tolist() == [0, 1, 0, 1, 1] and offset.tolist() == [0, 0, 7, 6, 9]
 
 
+def test_numbers_of_any_length():
+    zeros = "0" * 10_000
+    text = f"1.2.3.{zeros} 1.2.{zeros}9.4 {zeros}255.1.1.1 {zeros}256.1.1.1 5.6.7.{'9' * 10_000}"
+    a, b = 6 + len(zeros), 2 * len(zeros) + 14
+    assert pii.base_spans(text) == [("ip", 0, a), ("ip", a + 1, b), ("ip", b + 1, b + 1 + len(zeros) + 9)]
+    assert pii.redacted(text, pii.base_spans(text)).startswith("<IP> <IP> <IP> 0")
+
+
 def test_base_spans_fuzz():
     patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
     r = random.Random(1)
