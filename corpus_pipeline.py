@@ -32,11 +32,14 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: that with the smallest doc_id. Rows that repeat it go too."""
+    """One document of each group of near copies stays: that with the smallest doc_id.
+
+    Of rows with one doc_id (or none) that stay, those with equal texts are one, different texts all stay.
+    """
     groups = near_duplicates(docs, NEAR_PERCENT)
     kept = _without(docs, groups.where("NOT kept").select("doc_id").distinct())
-    unnamed = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
-    return kept.withColumn("_unnamed", unnamed).dropDuplicates(["doc_id", "_unnamed"]).select(docs.columns)
+    text_key = "_".join(["text_key", *docs.columns])  # a name that no column has
+    return kept.withColumn(text_key, F.sha2(F.col("text").cast("binary"), 256)).dropDuplicates(["doc_id", text_key]).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
