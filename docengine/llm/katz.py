@@ -87,9 +87,15 @@ def _squeezed(*arrays: np.ndarray) -> bytes:
     return len(raw).to_bytes(4, "little") + pa.compress(raw, "zstd", asbytes=True)
 
 
+def _runs(keys: np.ndarray) -> np.ndarray:
+    """Lengths of the runs of equal keys."""
+    return np.diff(np.append(np.flatnonzero(np.append(True, keys[1:] != keys[:-1])), len(keys))) if len(keys) else np.zeros(0, np.int64)
+
+
 def _stored(keys: list[np.ndarray], words: np.ndarray, counts: np.ndarray) -> bytes:
-    """Counts of n-grams sorted by their keys, of which the first is kept as differences."""
-    return _squeezed(np.diff(keys[0], prepend=0), *keys[1:], words, counts)
+    """Counts of n-grams sorted by their keys: the first key as differences, what follows as such within its runs."""
+    rest = [*keys[1:], words]
+    return _squeezed(np.diff(keys[0], prepend=0), _rises(_runs(keys[0]), rest[0]), *rest[1:], counts)
 
 
 def _arrays(squeezed: bytes) -> list[np.ndarray]:
@@ -238,8 +244,9 @@ class _Level:
         cut = np.append(np.flatnonzero(np.append(True, np.diff(bucket) != 0)), len(bucket)) if len(bucket) else [0]
         for i, j in zip(cut[:-1], cut[1:]):
             p = pairs[ends[i] : ends[j]]
-            first = np.diff(self.keys[0][own[i:j]], prepend=0)
-            yield int(bucket[i]), _squeezed(sizes[i:j], _rises(sizes[i:j], block.number[self.word[p]]), self.counts[p], self.lower[p], self.need[own[i:j]].astype(np.uint8), first, *(k[own[i:j]] for k in self.keys[1:]))
+            first = self.keys[0][own[i:j]]
+            more = [_rises(_runs(first), k[own[i:j]]) for k in self.keys[1:]]
+            yield int(bucket[i]), _squeezed(sizes[i:j], _rises(sizes[i:j], block.number[self.word[p]]), self.counts[p], self.lower[p], self.need[own[i:j]].astype(np.uint8), np.diff(first, prepend=0), *more)
 
     def answered(self, block: _Block, found: pa.Table, ranges: int) -> None:
         """Takes the answers: totals of pairs; of each context its total and whether it has words of few occurrences.
@@ -375,6 +382,8 @@ def _gathered(table: pa.Table, order: int):
     asked = [_arrays(x) for x in sent["payload"].to_pylist()]
     for a in asked:
         a[1], a[5] = _rises(a[0], a[1], True), np.cumsum(a[5])
+        if order == 3:
+            a[6] = _rises(_runs(a[5]), a[6], True)
     every = lambda k: np.concatenate([a[k] for a in asked]) if asked else np.zeros(0, np.int64)
     keys = [every(5)] if order == 2 else [every(5), every(6)]
     contexts, first, slot = T.distinct(keys[0] if order == 2 else _joint(*keys))
@@ -515,7 +524,7 @@ def katz_scores(docs: DataFrame, held=None, order: int = ORDER, block_bytes: int
     sums = found.groupBy("blk").applyInArrow(_summed, "of int, sums array<bigint>")
     cells = [(k, i) for k in range(1, order + 1) for i in range(_STATS)]
     each = [F.coalesce(F.sum(F.when(F.col("of") == k, F.col("sums")[i])), F.lit(0)).alias(f"s{k}_{i}") for k, i in cells]
-    one = sums.agg(*each).select(F.lit(1).alias("of"), F.array(*[f"s{k}_{i}" for k, i in cells]).alias("sums"))
+    one = sums.agg(F.min("of").alias("of"), *each).select("of", F.array(*[f"s{k}_{i}" for k, i in cells]).alias("sums"))
     found = found.join(F.broadcast(one), F.col("ord") == F.col("of"), "left")
     scores = dealt.groupBy("blk").cogroup(found.groupBy("blk")).applyInArrow(_score(order, blocks), _WRITTEN)
     for t in tables:
@@ -534,6 +543,8 @@ def counts_of(spark, path: str, order: int) -> DataFrame:
             for payload in batch.column("payload").to_pylist():
                 a = _arrays(payload)
                 a[0] = np.cumsum(a[0].view(np.uint64), dtype=np.uint64).view(np.int64)
+                if order > 1:
+                    a[1] = _rises(_runs(a[0]), a[1], True)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in a], names)
 
     names = {1: ["hash", "number", "count"], 2: ["context", "word", "count"], 3: ["context", "before", "word", "count"]}[order]

@@ -69,7 +69,7 @@ def block_count(df: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
     return max(2, -(-size // max(block_bytes, math.isqrt(64 * size))))
 
 
-_CODEC = pa.Codec("zstd", 3)
+_CODEC = pa.Codec("zstd", 5)
 
 
 def _packed(batches):

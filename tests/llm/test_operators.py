@@ -181,6 +181,7 @@ def test_katz(spark, monkeypatch, tmp_path, order, split):
             assert sum(p(context, x[0]) for x in grams[1]) + p(context, "\0") == pytest.approx(1)
         stored = katz.counts_of(spark, path, k).collect()
         assert sorted(x["count"] for x in stored if x["count"]) == sorted(grams[k].values())
+        assert sorted(Counter(tuple(x)[0] for x in stored if x["count"]).values()) == sorted(Counter(g[0] for g in grams[k]).values())
         assert len({tuple(x)[:-1] for x in stored}) == len(stored)
 
 
