@@ -54,6 +54,13 @@ def list_components(chunks: DataFrame, examples: DataFrame | None = None) -> Dat
     return rows.select("component", "chunk_count", "code_example_count", F.size("topics").cast("long").alias("topic_count")).orderBy("component")
 
 
+def components(chunks: DataFrame, vectors: DataFrame | None = None) -> list[str]:
+    """Names of the components that either tier of the search has, sorted."""
+    rows = chunks.select("component")
+    rows = rows if vectors is None else rows.unionByName(vectors.select("component"))
+    return [r[0] for r in rows.distinct().orderBy("component").collect()]
+
+
 def list_topics(chunks: DataFrame, component: str) -> DataFrame:
     return chunks.where(F.col("component") == component).select("topic").distinct().orderBy("topic")
 
