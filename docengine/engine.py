@@ -22,18 +22,25 @@ def _rows(df: DataFrame, *drop: str) -> list[dict]:
 
 
 class Engine:
-    """base: a folder of versions, or the tables of one. Tables are read lazily and kept for the session."""
+    """base: a folder of versions, or the tables of one. Tables are read lazily and kept for the session.
 
-    def __init__(self, spark: SparkSession, base: str, version: str | None = None, embedder: vector.Embedder | None = None):
+    Where there are no stored vectors the second tier of the search gives nothing.
+    """
+
+    def __init__(self, spark: SparkSession, base: str, version: str | None = None, embedder: vector.Embedder | None = None, settings: hybrid.Settings | None = None):
         known = store.versions(spark, base)
         self.root = f"{base}/{lookups.resolve_version(known, version)}" if known or version else base
         self.spark, self.embedder = spark, embedder or vector.HashingEmbedder()
-        self.tables = store.load(spark, self.root)
+        self.settings = settings or hybrid.Settings()
+        self.tables = store.load(spark, self.root, optional=("embeddings",))
         self.chunks, self.examples, self.xref = (self.tables[k] for k in ("chunks", "code_examples", "command_xref"))
-        self.vectors = vector.consistent(self.tables["embeddings"], self.chunks)
+        self.vectors = vector.consistent(self.tables["embeddings"], self.chunks) if "embeddings" in self.tables else None
+
+    def _limit(self, limit: int | None) -> int:
+        return hybrid.clamp(self.settings.default_limit if limit is None else limit, self.settings.max_limit)
 
-    def search_docs(self, query: str, component: str | None = None, limit: int = hybrid.DEFAULT_LIMIT) -> list[dict]:
-        limit = hybrid.clamp(limit)
+    def search_docs(self, query: str, component: str | None = None, limit: int | None = None) -> list[dict]:
+        limit = self._limit(limit)
         rows = self._search(query, component, limit)
         return rows if rows or not component else self._search(query, None, limit)
 
@@ -42,14 +49,14 @@ class Engine:
         keys = ["entity_id", "component", "chunk_ord", "score", "search_source"]
         kind = "entity_id string, component string, chunk_ord int, score double, search_source string"
         first = bm25.search_index(self.tables, query, component, limit).select(*keys).collect()
-        more = hybrid.semantic_limit(sum(r["score"] >= hybrid.THRESHOLD for r in first), limit)
-        second = vector.search(self.vectors, self.embedder.embed([query])[0], component, more).select(*keys).collect() if more else []
+        more = hybrid.semantic_limit(sum(r["score"] >= self.settings.threshold for r in first), limit, self.settings.min_ratio)
+        second = vector.search(self.vectors, self.embedder.embed([query])[0], component, more).select(*keys).collect() if more and self.vectors is not None else []
         merged = hybrid.merge(self.spark.createDataFrame(first, kind), self.spark.createDataFrame(second, kind), limit)
-        out = hybrid.rerank(self.chunks.join(F.broadcast(merged), ["entity_id", "component", "chunk_ord"]))
+        out = hybrid.rerank(self.chunks.join(F.broadcast(merged), ["entity_id", "component", "chunk_ord"]), self.settings.quality_weight)
         return _rows(out.orderBy(F.desc("score"), "component", "chunk_ord").select(*RESULT))
 
-    def search_examples(self, query: str, component: str | None = None, language: str | None = None, limit: int = hybrid.DEFAULT_LIMIT) -> list[dict]:
-        return _rows(lookups.search_examples(self.examples, query, component, language, hybrid.clamp(limit), self.chunks), "score", "ex_ord")
+    def search_examples(self, query: str, component: str | None = None, language: str | None = None, limit: int | None = None) -> list[dict]:
+        return _rows(lookups.search_examples(self.examples, query, component, language, self._limit(limit), self.chunks), "score", "ex_ord")
 
     def get_doc_page(self, source_file: str) -> dict:
         rows = _rows(lookups.doc_page(lookups.chunks_for_source(self.chunks, source_file), source_file), "file_ord", "chunk_ord")

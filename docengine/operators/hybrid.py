@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,13 +14,25 @@ THRESHOLD, MIN_RATIO, QUALITY_WEIGHT = 0.25, 0.5, 0.3  # fixed values: gate and
 DEFAULT_LIMIT, MAX_LIMIT = 10, 50
 
 
+@dataclass(frozen=True)
+class Settings:
+    """threshold: score from which a keyword result counts as strong; min_ratio: share of the limit that must be strong for
+    the second tier not to run; quality_weight: of the re-ranking; limits: of a request without one, and of any."""
+
+    threshold: float = THRESHOLD
+    min_ratio: float = MIN_RATIO
+    quality_weight: float = QUALITY_WEIGHT
+    default_limit: int = DEFAULT_LIMIT
+    max_limit: int = MAX_LIMIT
+
+
 def clamp(limit, top: int = MAX_LIMIT) -> int:
     return max(1, min(int(limit), top))
 
 
-def semantic_limit(above: int, limit: int) -> int:
+def semantic_limit(above: int, limit: int, min_ratio: float = MIN_RATIO) -> int:
     """How many rows the second tier may give; 0: it doesn't run."""
-    return max(limit - above, 1) if above < max(int(limit * MIN_RATIO), 1) else 0
+    return max(limit - above, 1) if above < max(int(limit * min_ratio), 1) else 0
 
 
 def _best(rows: DataFrame) -> DataFrame:
@@ -42,9 +56,9 @@ def merge(keyword: DataFrame, semantic: DataFrame, limit: int) -> DataFrame:
     return out.orderBy(F.desc("score"), "later", "component", "chunk_ord", "entity_id").limit(limit).drop("later")
 
 
-def rerank(rows: DataFrame) -> DataFrame:
+def rerank(rows: DataFrame, weight: float = QUALITY_WEIGHT) -> DataFrame:
     """score * (1 + weight * quality); after the cut, so it can't bring in another row."""
-    return rows.withColumn("score", F.col("score") * (1 + QUALITY_WEIGHT * F.col("quality_score")))
+    return rows.withColumn("score", F.col("score") * (1 + weight * F.col("quality_score")))
 
 
 def search(chunks: DataFrame, vectors: DataFrame | None, query: str, query_vector: list[float] | None, component: str | None = None, limit: int = DEFAULT_LIMIT) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,7 +41,8 @@ def metadata(chunks: DataFrame, examples: DataFrame, version: str, embedder: vec
 
 
 def _write(df: DataFrame, path: str, partitioned: bool, dynamic: bool = False) -> None:
-    w = df.repartition("component").write.mode("overwrite") if partitioned else df.write.mode("overwrite")
+    """Partitioned by component; adaptive execution splits a large component over several tasks and files."""
+    w = df.hint("rebalance", "component").write.mode("overwrite") if partitioned else df.write.mode("overwrite")
     w = w.partitionBy("component") if partitioned else w
     (w.option("partitionOverwriteMode", "dynamic") if dynamic else w).parquet(path)
 
@@ -84,11 +86,16 @@ def build(spark: SparkSession, docs_root: str, index_root: str, version: str, em
         files.unpersist()
 
 
-def load(spark: SparkSession, root: str, names=(*PARTITIONED, "command_xref", "metadata")) -> dict[str, DataFrame]:
-    """The stored tables; a component is read as text whatever it looks like."""
+def load(spark: SparkSession, root: str, names=(*PARTITIONED, "command_xref", "metadata"), optional=()) -> dict[str, DataFrame]:
+    """The stored tables; a component is read as text whatever it looks like. optional: those left out if absent or broken."""
     out = {}
     for name in names:
-        df = spark.read.option("inferSchema", "false").parquet(f"{root}/{name}")
+        try:
+            df = spark.read.option("inferSchema", "false").parquet(f"{root}/{name}")
+        except AnalysisException:
+            if name in optional:
+                continue
+            raise
         out[name] = df.withColumn("component", F.col("component").cast("string")) if "component" in df.columns else df
     return out
 

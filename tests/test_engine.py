@@ -1,9 +1,10 @@
 import json
+import shutil
 
 import pytest
 
 from docengine.engine import Engine
-from docengine.operators import incremental
+from docengine.operators import hybrid, incremental
 from docengine.sources import store
 from docengine.streaming import follow
 
@@ -42,6 +43,19 @@ def test_operations(spark, index):
     assert json.loads(e.call("search_docs", {"query": "node quota", "limit": 1}))[0]["component"] == "net"
 
 
+def test_settings_and_missing_vectors(spark, index, tmp_path):
+    _, root = index
+    copy = f"{tmp_path}/tables"
+    shutil.copytree(root, copy, ignore=shutil.ignore_patterns("embeddings"))
+    e = Engine(spark, copy, settings=hybrid.Settings(quality_weight=0.0, default_limit=2, max_limit=3))
+    assert e.vectors is None and Engine(spark, root).vectors is not None
+    assert all(r["search_source"] == "bm25" for r in e.search_docs("disk objects"))  # the second tier gives nothing
+    assert e._limit(None) == 2 and e._limit(50) == 3 and e._limit(0) == 1
+    assert hybrid.semantic_limit(2, 10, 0.2) == 0 and hybrid.semantic_limit(2, 10) == 8
+    scored = spark.createDataFrame([(0.5, 1.0)], "score double, quality_score double")
+    assert hybrid.rerank(scored, 0.0).first()["score"] == 0.5 and hybrid.rerank(scored).first()["score"] == 0.65
+
+
 def test_update_and_stream(spark, index):
     base, root = index
     assert incremental.update(spark, str(base / "docs"), root, "1.2.1") == []
