@@ -20,9 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as T
-from .shared import BLOCK_BYTES, block_count, in_blocks, opened, text_of
+from .shared import block_count, in_blocks, opened, text_of
 
 WIDTH = 13
+DEDUP_BLOCK_BYTES = 9 << 20  # a block also holds its windows
 _SHIFT = np.uint64(16)  # full hash to 48-bit key
 
 
@@ -220,7 +221,7 @@ def _kept(width: int, with_text: bool):
     return run
 
 
-def substring_dedup(docs: DataFrame, width: int = WIDTH, with_text: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def substring_dedup(docs: DataFrame, width: int = WIDTH, with_text: bool = False, block_bytes: int = DEDUP_BLOCK_BYTES) -> DataFrame:
     """Removes each word covered by a window of `width` words that also starts in a document with a smaller doc_id.
 
     Returns a row per input row: doc_id, n_words, n_removed, kept_sha256 (and kept_text on request). Null and empty
