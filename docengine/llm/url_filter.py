@@ -61,12 +61,12 @@ def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
     without host, pass with no lists. Repeated captures are each evaluated; an empty list lets all pass.
     """
     rows = captures.select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"), F.col("fetched").cast("timestamp").alias("fetched"))
+    listed = intervals(entries)
+    deepest = listed.agg(F.max(F.size(F.split("domain", r"\.")))).first()[0] or 1  # no longer domain is looked up
     labels = F.split("host", r"\.")
     depth = F.size(labels)
-    domains = F.transform(F.sequence(F.lit(1), F.least(depth, "deepest")), lambda k: F.array_join(F.slice(labels, depth - k + 1, k), "."))
-    listed = intervals(entries)
-    deepest = listed.agg(F.coalesce(F.max(F.size(F.split("domain", r"\."))), F.lit(1)).alias("deepest"))  # no longer domain is looked up
-    hosts = rows.select("host").where("host <> ''").distinct().crossJoin(F.broadcast(deepest)).select("host", F.explode(domains).alias("domain"))
+    domains = F.transform(F.sequence(F.lit(1), F.least(depth, F.lit(deepest))), lambda k: F.array_join(F.slice(labels, depth - k + 1, k), "."))
+    hosts = rows.select("host").where("host <> ''").distinct().select("host", F.explode(domains).alias("domain"))
     known = hosts.join(listed, "domain").groupBy("host").agg(F.collect_list(F.struct("domain", "list", "since", "until")).alias("spans"))
     at = F.col("fetched")
     active = F.filter(F.coalesce("spans", F.array()), lambda s: (s["since"] <= at) & (s["until"].isNull() | (at < s["until"])))
