@@ -16,9 +16,9 @@ def with_commands(chunks: DataFrame, vocabulary=T.COMMANDS) -> DataFrame:
 def build(chunks: DataFrame, vocabulary=T.COMMANDS) -> DataFrame:
     """command, ordinal, chunk_id, title, source, component: each chunk once a command, in chunk order.
 
-    The ordinal is the chunk's own place (file, then chunk), so no global sort is needed to number it.
+    The ordinal is the chunk's own place (file_ord, chunk_ord), so no global sort is needed to number it.
     """
-    ordinal = (F.col("file_ord") * F.lit(1 << 20) + F.col("chunk_ord")).alias("ordinal")
+    ordinal = F.struct("file_ord", "chunk_ord").alias("ordinal")
     rows = with_commands(chunks, vocabulary).select(F.explode("commands_referenced").alias("command"), ordinal, F.col("entity_id").alias("chunk_id"), "title", F.col("source_file").alias("source"), "component")
     one = F.min(F.struct("ordinal", "title", "source", "component")).alias("r")
     return rows.groupBy("command", "chunk_id").agg(one).select("command", "r.ordinal", "chunk_id", "r.title", "r.source", "r.component")

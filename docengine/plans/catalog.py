@@ -12,6 +12,7 @@ from ..functions import quality
 from ..functions import text as T
 from ..operators import bm25, hybrid, incremental, lookups, vector, xref
 from ..sources import documents, snapshots
+from ..sources.tables import spread
 
 #: The tables hold no commands of the real vocabulary; common words stand in.
 VOCABULARY = ["that", "with", "this", "les", "der"]
@@ -21,7 +22,7 @@ REPEATED = "idiot moron idiot clown"
 
 def chunks(spark: SparkSession, d: str, labelled: bool = False) -> DataFrame:
     """labelled: with the deprecated flag, which needs a join."""
-    docs = spark.read.parquet(f"{d}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "lang", "source"))
     file = F.concat_ws("/", "lang", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".rst")))
     title = F.substring_index("text", "\n", 1)
     out = docs.select(
@@ -109,6 +110,14 @@ def quality_scores(spark, d):
     return quality.scored(chunks(spark, d, True), VOCABULARY).select("doc_id", F.round("quality_score", 6).alias("quality_score"))
 
 
+def quality_markup(spark, d):
+    """The quality of texts in which fences and tables of contents were put, by the document's number."""
+    c = F.col("content")
+    made = F.when(F.col("doc_id") % 4 == 0, F.concat(c, F.lit("\n```\nrun\n```\n"))).when(F.col("doc_id") % 4 == 1, F.concat(c, F.lit("\n.. TocTree::\n"))).when(F.col("doc_id") % 4 == 2, F.concat(F.lit("```\n"), F.col("title"), F.lit("\n```")))
+    rows = chunks(spark, d, True).withColumn("content", F.coalesce(made, c))
+    return quality.scored(rows, VOCABULARY).select("doc_id", F.round("quality_score", 6).alias("quality_score"))
+
+
 def command_occurrences(spark, d):
     text = F.concat("title", F.lit("\n"), "content")
     rows = chunks(spark, d).select("doc_id", F.explode(T.command_matches(text, VOCABULARY)).alias("command"))
@@ -140,11 +149,11 @@ def command_lookup_exact(spark, d):
 
 
 def command_lookup_prefix(spark, d):
-    return xref.find(_xref(spark, d).persist(), PREFIX)[1].select("chunk_id", "source")
+    return xref.find(_xref(spark, d), PREFIX)[1].select("chunk_id", "source")
 
 
 def command_lookup_uncapped(spark, d):
-    return xref.lookup(_xref(spark, d).persist(), PREFIX).select("chunk_id", "source")
+    return xref.lookup(_xref(spark, d), PREFIX).select("chunk_id", "source")
 
 
 def _vectors(spark, d) -> DataFrame:
@@ -364,6 +373,17 @@ def rst_xref(spark, d):
     return xref.build(documents.chunks(_manual(spark), "1")).select("command", "chunk_id")
 
 
+# What the files of MANUAL give by the rules of the markup, worked out by hand.
+_POOLS, _CREATE, _INDEX = ("left(sha256('store/" + f + "'), 16)" for f in ("guide/pools.rst::Pools", "guide/pools.rst::Pools > Create", "index.rst::Index"))
+_SECTIONS = f"""SELECT * FROM (VALUES
+({_POOLS}, 'Pools', 'Pools', 'A pool holds objects.' || chr(10) || '**Note:** Pools are replicated.', 'store', 'guide', '', 0),
+({_CREATE}, 'Create', 'Pools > Create', array_to_string(['To create one, run:', '```', 'ceph osd pool create {{name}} 128', '```', '', '```bash', 'ceph osd pool create mine 128', '```', '',
+  '**Warning:** Numbers should be powers of two.', '', '- first', '- second *item*', '', '| Name  | Size |', '| ----- | ---- |', '| small | 1    |', '| large | 20   |'], chr(10)), 'store', 'guide', '14.0', 1),
+({_INDEX}, 'Index', 'Index', 'No sections here, only `words`.And more.', 'store', 'general', '', 0)) t(entity_id, title, section_path, content, component, topic, version_added, warnings)"""
+_EXAMPLES = """SELECT left(sha256('store/guide/pools.rst::' || code || chr(10)), 16) AS entity_id, language, code, context, 'ceph osd pool create' AS commands
+FROM (VALUES ('bash', 'ceph osd pool create mine 128', ''), ('text', 'ceph osd pool create {name} 128', 'To create one, run')) t(language, code, context)"""
+_CREATED = f"SELECT command, {_CREATE} AS chunk_id FROM (VALUES ('ceph osd'), ('ceph osd pool'), ('ceph osd pool create'), ('ceph osd pool create mine')) t(command)"
+
 _ALT = "|".join(sorted(VOCABULARY, key=lambda p: (-len(p), p)))
 _WORDS = "len(list_filter(regexp_split_to_array(content, '[\\s\\x0B]+'), lambda w: w <> ''))"
 _MATCH = rf"(?m)(?:^|\s|\$\s+)({_ALT})(\s+[\p{{L}}\p{{N}}_\-]+(?:\s+[\p{{L}}\p{{N}}_\-]+){{0,3}})"
@@ -380,6 +400,9 @@ _QUALITY = f"""quality AS (SELECT doc_id, greatest(0::DOUBLE, least(1::DOUBLE, 0
   + CASE WHEN {_WORDS} >= 50 THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN {_WORDS} < 20 THEN -0.2::DOUBLE ELSE 0 END
   + CASE WHEN coalesce(toxic, 0) = 1 THEN -0.1::DOUBLE ELSE 0 END)) AS q FROM chunk LEFT JOIN labels USING (doc_id))"""
 
+_MARKED = f"""WITH {CHUNK.replace('chunk AS', 'plain AS', 1)}, chunk AS (SELECT * REPLACE (CASE doc_id % 4 WHEN 0 THEN content || chr(10) || '```' || chr(10) || 'run' || chr(10) || '```' || chr(10)
+  WHEN 1 THEN content || chr(10) || '.. TocTree::' || chr(10) WHEN 2 THEN '```' || chr(10) || title || chr(10) || '```' ELSE content END AS content) FROM plain), {_QUALITY} SELECT doc_id, round(q, 6) AS quality_score FROM quality"""
+
 #: name: (query, SQL or None)
 _ALL = {
     "tokenize_term_counts": (tokenize_term_counts, f"WITH {CHUNK}, {TOK} SELECT component, term, count(*) AS n FROM (SELECT component, unnest(tokens) AS term FROM tok) GROUP BY component, term"),
@@ -394,6 +417,7 @@ _ALL = {
     "component_topic": (component_topic, "SELECT doc_id, lang AS component, source AS topic FROM documents"),
     "doc_url": (doc_url, f"SELECT doc_id, '{T.DOC_BASE_URL}/' || lang || '/' || source || '/' || doc_id || '/' AS doc_url FROM documents"),
     "quality_scores": (quality_scores, f"WITH {CHUNK}, {_QUALITY} SELECT doc_id, round(q, 6) AS quality_score FROM quality"),
+    "quality_markup": (quality_markup, _MARKED),
     "command_occurrences": (command_occurrences, f"WITH {CHUNK}, {_OCC} SELECT doc_id, whole AS command, count(*) AS n FROM occ GROUP BY doc_id, whole"),
     "commands_referenced": (commands_referenced, f"WITH {CHUNK}, {_CMD} SELECT chunk.doc_id, coalesce(string_agg(command, '|' ORDER BY command), '') AS commands FROM chunk LEFT JOIN cmd USING (doc_id) GROUP BY chunk.doc_id"),
     "command_xref": (command_xref, f"WITH {CHUNK}, {_CMD} SELECT command, chunk_id, source, component FROM x"),
@@ -422,10 +446,10 @@ _ALL = {
     "affected_components": (affected_components, f"{_SNAP} SELECT DISTINCT string_split(coalesce(o.source_file, n.source_file), '/')[1] AS component FROM o FULL JOIN n ON o.source_file = n.source_file WHERE o.content IS DISTINCT FROM n.content"),
     "sentence_split_chunks": (sentence_split_chunks, None),
     "latest_version": (latest_version, "SELECT 'doc-20.2.1' AS version"),
-    "rst_sections": (rst_sections, None),
-    "rst_code_examples": (rst_code_examples, None),
-    "rst_quality": (rst_quality, None),
-    "rst_xref": (rst_xref, None),
+    "rst_sections": (rst_sections, _SECTIONS),
+    "rst_code_examples": (rst_code_examples, _EXAMPLES),
+    "rst_quality": (rst_quality, f"SELECT * FROM (VALUES ({_POOLS}, 0.4::DOUBLE), ({_CREATE}, 1.0::DOUBLE), ({_INDEX}, 0.4::DOUBLE)) t(entity_id, quality_score)"),
+    "rst_xref": (rst_xref, _CREATED),
 }
 
 

@@ -40,9 +40,15 @@ def metadata(chunks: DataFrame, examples: DataFrame, version: str, embedder: vec
     return totals.select(F.lit(version).alias("version"), F.lit(embedder.name).alias("embedding_model"), F.lit(embedder.dimensions).alias("embedding_dimensions"), "*", F.lit(built).alias("build_timestamp"))
 
 
-def _write(df: DataFrame, path: str, partitioned: bool, dynamic: bool = False) -> None:
-    """Partitioned by component; adaptive execution splits a large component over several tasks and files."""
-    w = df.hint("rebalance", "component").write.mode("overwrite") if partitioned else df.write.mode("overwrite")
+def write_table(df: DataFrame, path: str, partitioned: bool, dynamic: bool = False) -> None:
+    """Partitioned by component; adaptive execution splits a large component over several tasks and files.
+
+    Tables of terms are sorted by term within a file, so that a search for a few terms reads few row groups and pages.
+    """
+    if partitioned:
+        df = df.hint("rebalance", "component")
+        df = df.sortWithinPartitions("component", "term") if "term" in df.columns else df
+    w = df.write.mode("overwrite")
     w = w.partitionBy("component") if partitioned else w
     (w.option("partitionOverwriteMode", "dynamic") if dynamic else w).parquet(path)
 
@@ -56,12 +62,12 @@ def write(root: str, chunks: DataFrame, examples: DataFrame, version: str, embed
     spark = chunks.sparkSession
     mine = chunks if only is None else chunks.where(F.col("component").isin(only))
     own = examples if only is None else examples.where(F.col("component").isin(only))
-    _write(mine, f"{root}/chunks", True, only is not None)
-    _write(own, f"{root}/code_examples", True, only is not None)
+    write_table(mine, f"{root}/chunks", True, only is not None)
+    write_table(own, f"{root}/code_examples", True, only is not None)
     stored = load(spark, root, ("chunks", "code_examples"))
     again = stored["chunks"] if only is None else stored["chunks"].where(F.col("component").isin(only))
     for name, df in derived(again, embedder).items():
-        _write(df, f"{root}/{name}", True, only is not None)
+        write_table(df, f"{root}/{name}", True, only is not None)
     # Commands spread over components: the cross-reference is always made again, ordered by command for row group skipping.
     xref.build(stored["chunks"]).repartitionByRange("command").sortWithinPartitions("command", "ordinal").write.mode("overwrite").parquet(f"{root}/command_xref")
     if files is not None:
