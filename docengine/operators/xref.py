@@ -34,11 +34,16 @@ def _prefixes(xref: DataFrame, key: str) -> DataFrame:
     return xref.where(F.col("command").startswith(key) | F.lit(key).startswith(F.col("command")))
 
 
+def near(xref: DataFrame, key: str) -> DataFrame:
+    """References of every command that begins with key or that key begins with, key itself among them: each chunk once."""
+    return _refs(_prefixes(xref, key)).orderBy("command", "ordinal")
+
+
 def lookup(xref: DataFrame, command: str) -> DataFrame:
     """Exact references, else those of every command that begins with the given one or the reverse; uncapped."""
     key = " ".join(command.split()).lower()
     exact = xref.where(F.col("command") == key)
-    return (exact if not exact.isEmpty() else _refs(_prefixes(xref, key))).orderBy("command", "ordinal")
+    return exact.orderBy("command", "ordinal") if not exact.isEmpty() else near(xref, key)
 
 
 def find(xref: DataFrame, command: str, keys: int = 10, references: int = 20) -> tuple[list[str] | None, DataFrame]:
@@ -47,6 +52,5 @@ def find(xref: DataFrame, command: str, keys: int = 10, references: int = 20) ->
     exact = xref.where(F.col("command") == key)
     if not exact.isEmpty():
         return None, exact.orderBy("ordinal")
-    near = _prefixes(xref, key)
-    names = [r[0] for r in near.select("command").distinct().orderBy("command").limit(keys).collect()]
-    return names, _refs(near).orderBy("command", "ordinal").limit(references)
+    names = [r[0] for r in _prefixes(xref, key).select("command").distinct().orderBy("command").limit(keys).collect()]
+    return names, near(xref, key).limit(references)

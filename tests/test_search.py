@@ -1,5 +1,6 @@
 import math
 
+import duckdb
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from docengine.functions import quality
 from docengine.functions import text as T
 from docengine.operators import bm25, hybrid, lookups, xref
+from docengine.plans import catalog
 from docengine.schemas import RESULT
 
 
@@ -68,6 +70,29 @@ def test_commands_and_lookups(spark):
     assert {r["chunk_id"] for r in xref.lookup(x, "  RADOS   pool ").collect()} == {"a", "b"}
 
 
+@pytest.fixture(scope="module")
+def with_exact_command(spark, tmp_path_factory):
+    """A table in which the prefix asked for is a command itself, beside longer and shorter ones, in more than 20 documents."""
+    texts = ["Title\nwith the an", "with the", "with the an heat of it", "none here", "with the andes\nwith the an", "that the an", "Title\nwith the an\nwith the a", "with them all"] * 5
+    d = tmp_path_factory.mktemp("lookup")
+    rows = [(k, t, "en", f"src{k % 3}", len(t)) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{d}/documents.parquet")
+    return str(d)
+
+
+def by_sql(d, name):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{d}/documents.parquet/*.parquet'")
+    return con.execute(catalog.oracle_sql()[name]).fetchall()
+
+
+def test_prefix_lookup_where_the_prefix_is_a_command(spark, with_exact_command):
+    d = with_exact_command
+    assert xref.find(xref.build(catalog.chunks(spark, d), catalog.VOCABULARY), catalog.PREFIX)[0] is None  # the exact tier alone would answer
+    want = by_sql(d, "command_lookup_prefix")
+    assert len(want) == 20 and [tuple(r) for r in catalog.command_lookup_prefix(spark, d).collect()] == want
+
+
 def test_gate_and_clamp():
     assert [hybrid.semantic_limit(n, 10) for n in (0, 3, 5)] == [10, 7, 0]
     assert hybrid.semantic_limit(1, 1) == 0 and hybrid.semantic_limit(0, 1) == 1
